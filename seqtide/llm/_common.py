@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ARROW_ROWS = 1000
-HASH_CACHE = 300_000
+HASH_CACHE = 200_000
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -64,16 +64,31 @@ def _clean() -> None:
         to.getFileSystem(spark._jsc.hadoopConfiguration()).delete(to, True)
 
 
-class WordHash(dict):
-    """bytes -> 64-bit hash, remembered; forgets all once it holds HASH_CACHE words, which bounds memory and changes no value."""
+class Memo(dict):
+    """Remembers make(key) for the keys of late, at most 2 * limit: once `limit` keys are new, the older ones go. Changes no value."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= HASH_CACHE:
+    def __init__(self, make, limit: int) -> None:
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key):
+        v = self.old.get(key)
+        if v is None:
+            v = self.make(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        v = self[word] = xxhash.xxh3_64_intdigest(word)
+        self[key] = v
         return v
 
 
+class WordHash(Memo):
+    """bytes -> 64-bit hash."""
+
+    def __init__(self) -> None:
+        super().__init__(xxhash.xxh3_64_intdigest, HASH_CACHE)
+
+
 def word_hashes(words: list[bytes], cache: WordHash) -> np.ndarray:
     return np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
 
