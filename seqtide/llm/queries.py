@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, langid, packing, pii, quality, substring
+from . import bpe, html_text, langid, lattice, matroska, neardup, packing, pii, quality, substring
 from ._common import documents
 
 
@@ -30,10 +30,22 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
+def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.round_trip(documents(spark, sf_dir))
+
+
+def op7_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score(documents(spark, sf_dir))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.components(documents(spark, sf_dir))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digest(documents(spark, sf_dir))
 
@@ -44,8 +56,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html_extraction": op3_html_extraction,
     "op4_pii_pseudonyms": op4_pii_pseudonyms,
     "op5_language_id": op5_language_id,
+    "op6_matroska": op6_matroska,
+    "op7_lattice_score": op7_lattice_score,
     "op8_packing": op8_packing,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
 ORACLES: dict[str, str] = {}
