@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -27,8 +28,10 @@ ORDER = 4
 #: Labelled rows to fit on for each language, in expectation; the sample is by hash of the id.
 SAMPLE = 600
 FOLDS = 5
-CACHE_WORDS = 250_000
+CACHE_WORDS = 500_000
 CACHE_GRAMS = 400_000
+#: Words of a text coded in one step, and bytes of new words coded together.
+STEP_WORDS, STEP_BYTES = 8192, 200_000
 UNKNOWN = "und"
 _LETTER = re.compile(rb"[A-Za-z]")
 
@@ -97,44 +100,64 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col
 
 
 class Scorer:
-    """Code lengths of texts under each tree; words and byte grams are remembered up to fixed numbers."""
+    """Code lengths of texts under each tree.
 
-    def __init__(self, trees: dict[str, Tree], order: int = ORDER) -> None:
+    Words and byte grams are remembered in tables of fixed size; a full one is emptied, which
+    changes no value.  A text's new words are coded together.
+    """
+
+    def __init__(self, trees: dict[str, Tree], order: int = ORDER, words: int = CACHE_WORDS, grams: int = CACHE_GRAMS) -> None:
         self.langs, self.trees, self.order = list(trees), list(trees.values()), order
-        self.grams: dict[bytes, np.ndarray] = {}
+        self.grams: dict[bytes, int] = {}
         self.words: dict[bytes, int] = {}
-        self.table = np.zeros((CACHE_WORDS, max(1, len(trees))))
+        self.of_gram, self.of_word = np.zeros((grams, max(1, len(trees)))), np.zeros((words, max(1, len(trees))))
 
-    def gram(self, gram: bytes) -> np.ndarray:
-        out = self.grams.get(gram)
-        if out is None:
-            if len(self.grams) >= CACHE_GRAMS:
-                self.grams.clear()
-            out = self.grams[gram] = np.array([code_length(t, gram[:-1], gram[-1]) for t in self.trees])
-        return out
+    def _gram(self, gram: bytes) -> int:
+        k = self.grams[gram] = len(self.grams)
+        self.of_gram[k] = [code_length(t, gram[:-1], gram[-1]) for t in self.trees]
+        return k
 
-    def word(self, word: bytes) -> np.ndarray:
-        s = b" " + word + b" "
-        gram, order = self.gram, self.order
-        total = gram(s[:2]).copy()
-        for i in range(2, len(s)):
-            total += gram(s[max(0, i - order) : i + 1])
+    def _long(self, word: bytes) -> np.ndarray:
+        """A word with as many grams as the table holds is coded piece by piece."""
+        s, total = b" " + word + b" ", np.zeros(len(self.trees))
+        for i in range(1, len(s)):
+            total += [code_length(t, s[max(0, i - self.order) : i], s[i]) for t in self.trees]
         return total
 
+    def _code(self, words: list[bytes]) -> np.ndarray:
+        """Bits by language of words whose grams fit into the table together."""
+        if len(self.grams) + sum(map(len, words)) + 2 * len(words) > len(self.of_gram):
+            self.grams.clear()
+        get, order, make, at, starts = self.grams.get, self.order, self._gram, [], []
+        for word in words:
+            s = b" " + word + b" "
+            starts.append(len(at))
+            for i in range(1, len(s)):
+                gram = s[i - order if i > order else 0 : i + 1]
+                k = get(gram)
+                at.append(make(gram) if k is None else k)
+        return np.add.reduceat(self.of_gram[at], starts)
+
+    def _rows(self, words: list[bytes]) -> np.ndarray:
+        """Bits by language of each of some words."""
+        known = self.words
+        new = [w for w in dict.fromkeys(words) if w not in known]
+        if len(known) + len(new) > len(self.of_word):
+            known.clear()
+            new = list(dict.fromkeys(words))
+        if new:
+            rows = [self._long(w)[None] if len(w) > STEP_BYTES else self._code([w]) for w in new] if sum(map(len, new)) > STEP_BYTES else [self._code(new)]
+            first = len(known)
+            known.update(zip(new, range(first, first + len(new)), strict=True))
+            self.of_word[first : first + len(new)] = np.concatenate(rows)
+        return self.of_word[[known[w] for w in words]]
+
     def bits(self, text: bytes) -> np.ndarray:
         """Bits of the whole text by language."""
-        total, known, table, at = np.zeros(len(self.trees)), self.words, self.table, []
-        for word in text.split():
-            k = known.get(word)
-            if k is None:
-                if len(known) >= CACHE_WORDS:
-                    total += table[at].sum(0)
-                    known.clear()
-                    at = []
-                k = known[word] = len(known)
-                table[k] = self.word(word)
-            at.append(k)
-        return total + table[at].sum(0)
+        words, total = text.split(), np.zeros(len(self.trees))
+        for at in range(0, len(words), STEP_WORDS):
+            total += self._rows(words[at : at + STEP_WORDS]).sum(0)
+        return total
 
     def best(self, text: bytes | None) -> tuple[str, float, float | None]:
         """Language, its posterior probability, and its bits a byte."""
@@ -145,6 +168,17 @@ class Scorer:
         return self.langs[k], float(1 / np.exp2(np.maximum(bits[k] - bits, -1000)).sum()), float(bits[k] / len(text))
 
 
+_HELD: dict[str, Scorer] = {}
+
+
+def held_scorer(key: str, trees: dict[str, Tree], order: int) -> Scorer:
+    """The worker's scorer of one model; its memory outlives a task."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = Scorer(trees, order)
+    return _HELD[key]
+
+
 def predict(docs: DataFrame, trees: dict[str, Tree], text_col: str = "text", order: int = ORDER) -> DataFrame:
     """docs with lang_pred, score and bits_per_byte (null if und), in place of columns of those names.
 
@@ -153,11 +187,12 @@ def predict(docs: DataFrame, trees: dict[str, Tree], text_col: str = "text", ord
     small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score", "bits_per_byte")
     given = docs.sparkSession.sparkContext.broadcast({k: dict(v) for k, v in trees.items()})
+    key = uuid.uuid4().hex
     names = [*docs.columns, "lang_pred", "score", "bits_per_byte"]
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(given.value, order)
+        scorer = held_scorer(key, given.value, order)
         for batch in batches:
             lang, score, rate = zip(*map(scorer.best, texts(batch, text_col)), strict=True) if batch.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], names=names)
