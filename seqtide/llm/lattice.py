@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +32,8 @@ from ._common import crc_mod, i64, small_batches, texts, written
 FOLDS = 10
 FREQUENT = 65_536
 HELD_WORDS = 500_000
+#: Cells of the table in which words of like length are scored together.
+GROUP_CELLS = 500_000
 ALPHA = 0.1
 #: First weight of the piece of rank r: 1 / (r + OFFSET).  Occurrences that every piece is given besides those expected.
 OFFSET, GIVEN = 2.7, 0.01
@@ -40,65 +42,98 @@ LN10 = math.log(10)
 
 
 class Lattice:
-    """Log weights of pieces, bytes (for characters that no piece has) and nothing else."""
+    """Log weights of pieces and of bytes, which stand for characters that no piece has.
 
-    def __init__(self, pieces: dict[str, float], bytes_: list[float]) -> None:
-        self.pieces, self.bytes = pieces, bytes_
+    Words are taken in groups of like length: edges are found by dictionary, and the forward
+    and backward recursions run over a whole group, place by place.
+    """
+
+    def __init__(self, pieces: list[str], weights: np.ndarray, bytes_: np.ndarray) -> None:
+        self.pieces, self.weights, self.bytes = pieces, weights, bytes_
+        #: Place of each piece, and -1 for what only begins one.
+        self.index = {p[:k]: -1 for p in pieces for k in range(1, len(p))} | {p: k for k, p in enumerate(pieces)}
         self.longest = max(map(len, pieces), default=1)
 
-    def edges(self, word: str) -> list[list[tuple[int, str | None, float]]]:
-        """For each place the edges that leave it: (end, piece or None for bytes, log weight)."""
-        get, n, longest, out = self.pieces.get, len(word), self.longest, []
-        for i in range(n):
-            own = []
-            for j in range(i + 1, min(n, i + longest) + 1):
-                piece = word[i:j]
-                w = get(piece)
-                if w is not None:
-                    own.append((j, piece, w))
-            if not own or own[0][0] != i + 1:
-                own.append((i + 1, None, sum(self.bytes[b] for b in word[i].encode())))
-            out.append(own)
-        return out
+    def _groups(self, words: list[str]) -> Iterator[np.ndarray]:
+        """Places of the words, by length, so that a group's table has at most GROUP_CELLS cells."""
+        sizes = np.array([len(w) + 1 for w in words])
+        order, at = np.argsort(sizes, kind="stable"), 0
+        while at < len(order):
+            n = 1
+            while at + n < len(order) and (n + 1) * sizes[order[at + n]] * self.longest <= GROUP_CELLS:
+                n += 1
+            yield order[at : at + n]
+            at += n
+
+    def _edges(self, words: list[str], width: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, bytes]]]:
+        """Cells (word, place, length) of the pieces in the words, the pieces, and the cells of characters left to bytes."""
+        get, longest, cells, found, rest = self.index.get, self.longest, [], [], []
+        for k, word in enumerate(words):
+            n = len(word)
+            for i in range(n):
+                cell = (k * width + i) * longest
+                p = get(word[i])
+                if p is None or p < 0:
+                    rest.append((cell, word[i].encode()))
+                else:
+                    cells.append(cell)
+                    found.append(p)
+                j = i + 2
+                while p is not None and j <= n:
+                    p = get(word[i:j])
+                    if p is not None and p >= 0:
+                        cells.append(cell + j - i - 1)
+                        found.append(p)
+                    j += 1
+        return np.array(cells, np.int64), np.array(found, np.int64), rest
 
     @staticmethod
-    def _sum(terms: list[float]) -> float:
-        if len(terms) == 1:
-            return terms[0]
-        top = max(terms)
-        return top + math.log(sum(math.exp(t - top) for t in terms))
-
-    def forward(self, edges: list[list[tuple[int, str | None, float]]]) -> list[float]:
-        """Log of the weight of all paths from the start to each place."""
-        terms: list[list[float]] = [[] for _ in range(len(edges) + 1)]
-        terms[0].append(0.0)
-        out = []
-        for i, own in enumerate(edges):
-            a = self._sum(terms[i])
-            out.append(a)
-            for j, _, w in own:
-                terms[j].append(a + w)
-        return [*out, self._sum(terms[-1])]
-
-    def log_probability(self, word: str) -> float:
-        """Natural log of the word's probability, over all segmentations."""
-        return self.forward(self.edges(MARK + word))[-1]
-
-    def expect(self, word: str, n: float, counts: dict[str, float], byte_counts: np.ndarray) -> None:
-        """Add the expected uses of each piece in n occurrences of the word."""
-        word = MARK + word
-        edges = self.edges(word)
-        alpha = self.forward(edges)
-        total, beta = alpha[-1], [0.0] * len(alpha)
-        for i in range(len(edges) - 1, -1, -1):
-            beta[i] = self._sum([w + beta[j] for j, _, w in edges[i]])
-            for j, piece, w in edges[i]:
-                share = n * math.exp(alpha[i] + w + beta[j] - total)
-                if piece is None:
-                    for b in word[i].encode():
-                        byte_counts[b] += share
-                else:
-                    counts[piece] += share
+    def _sum(terms: np.ndarray) -> np.ndarray:
+        """Log of the sum of the exponentials of each row; -inf for none."""
+        top = terms.max(1)
+        top = np.where(np.isneginf(top), 0.0, top)
+        with np.errstate(divide="ignore"):
+            return np.log(np.exp(terms - top[:, None]).sum(1)) + top
+
+    def run(self, words: list[str], counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Natural log probability of each word over all segmentations; given counts, also the expected uses of pieces and bytes."""
+        out, uses, byte_uses = np.zeros(len(words)), np.zeros(len(self.pieces)), np.zeros(256)
+        for places in self._groups(words):
+            own = [MARK + words[k] for k in places]
+            size = np.array([len(w) for w in own])
+            n, width = len(own), int(size.max())
+            cells, found, rest = self._edges(own, width)
+            table = np.full(n * width * self.longest, -np.inf)
+            table[cells] = self.weights[found]
+            for cell, data in rest:
+                table[cell] = sum(self.bytes[b] for b in data)
+            w = table.reshape(n, width, self.longest)
+            alpha = np.full((n, width + 1), -np.inf)
+            alpha[:, 0] = 0.0
+            for j in range(1, width + 1):
+                back = np.arange(1, min(self.longest, j) + 1)
+                alpha[:, j] = self._sum(alpha[:, j - back] + w[:, j - back, back - 1])
+            total = alpha[np.arange(n), size]
+            out[places] = total
+            if counts is None:
+                continue
+            beta = np.full((n, width + 1), -np.inf)
+            beta[np.arange(n), size] = 0.0
+            for i in range(width - 1, -1, -1):
+                ahead = np.arange(1, min(self.longest, width - i) + 1)
+                beta[:, i] = np.where(i < size, self._sum(w[:, i, ahead - 1] + beta[:, i + ahead]), beta[:, i])
+            log_n = np.log(counts[places]) - total
+
+            def share(cells: np.ndarray, n=n, width=width, table=table, alpha=alpha, beta=beta, log_n=log_n) -> np.ndarray:
+                word, place, length = cells // self.longest // width, cells // self.longest % width, cells % self.longest + 1
+                return np.exp(alpha[word, place] + table[cells] + beta[word, place + length] + log_n[word])
+
+            uses += np.bincount(found, share(cells), len(self.pieces)) if len(cells) else 0
+            if rest:
+                for (_, data), x in zip(rest, share(np.array([c for c, _ in rest], np.int64)), strict=True):
+                    for b in data:
+                        byte_uses[b] += x
+        return out, uses, byte_uses
 
 
 def first_weights(model: bytes) -> Lattice:
@@ -106,10 +141,10 @@ def first_weights(model: bytes) -> Lattice:
     sp = sentencepiece.SentencePieceProcessor(model_proto=model)
     ids = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i))]
     order = sorted(ids, key=lambda i: (-sp.get_score(i), i))
-    weight = {sp.id_to_piece(i): 1 / (r + OFFSET) for r, i in enumerate(order)}
+    weight = 1 / (np.arange(len(order)) + OFFSET)
     low = 1 / (len(order) + OFFSET)
-    total = sum(weight.values()) + 256 * low
-    return Lattice({p: math.log(w / total) for p, w in weight.items()}, [math.log(low / total)] * 256)
+    total = weight.sum() + 256 * low
+    return Lattice([sp.id_to_piece(i) for i in order], np.log(weight / total), np.full(256, math.log(low / total)))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,19 +175,23 @@ def learn(words: DataFrame, ends: int, model: bytes) -> tuple[Lattice, float]:
     given = words.sparkSession.sparkContext.broadcast(model)
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, counts, byte_counts = first_weights(given.value), defaultdict(float), np.zeros(256)
+        lattice = first_weights(given.value)
+        uses, byte_uses = np.zeros(len(lattice.pieces)), np.zeros(256)
         for batch in batches:
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                lattice.expect(word.decode(), n, counts, byte_counts)
-        names = [*counts, *(f"\0{b}" for b in np.flatnonzero(byte_counts))]
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([*counts.values(), *byte_counts[byte_counts > 0]], pa.float64())], names=["piece", "n"])
+            _, a, b = lattice.run([w.decode() for w in batch.column(0).to_pylist()], np.array(batch.column(1).to_pylist(), np.float64))
+            uses += a
+            byte_uses += b
+        every = np.concatenate([uses, byte_uses])
+        seen = np.flatnonzero(every)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(every[seen], pa.float64())], names=["piece", "n"])
 
-    summed = words.filter("train > 0").select("word", "train").mapInArrow(fn, "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n"))
-    uses = {r["piece"]: r["n"] for r in summed.collect()}
     first = first_weights(model)
-    total = sum(uses.values()) + GIVEN * (len(first.pieces) + 257) + ends
-    log = lambda name, extra=0: math.log((uses.get(name, 0.0) + GIVEN + extra) / total)
-    return Lattice({p: log(p) for p in first.pieces}, [log(f"\0{b}") for b in range(256)]), log("\0end", ends)
+    n = np.full(len(first.pieces) + 256, GIVEN)
+    for r in words.filter("train > 0").select("word", "train").mapInArrow(fn, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():
+        n[r["piece"]] += r["n"]
+    total = n.sum() + GIVEN + ends
+    log = np.log(n / total)
+    return Lattice(first.pieces, log[: len(first.pieces)], log[len(first.pieces) :]), math.log((GIVEN + ends) / total)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -174,13 +213,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     n_train, distinct = known["n"] + ends, known["v"] + (ends > 0)
     below = n_train + ALPHA * (distinct + 1)
     lattice, end_weight = learn(words, ends, model)
-    parts = spark.sparkContext.broadcast((lattice.pieces, lattice.bytes))
+    parts = spark.sparkContext.broadcast((lattice.pieces, lattice.weights, lattice.bytes))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Lattice(*parts.value)
         for batch in batches:
             found = batch.column(0).to_pylist()
-            value = [own.log_probability(w.decode()) / LN10 for w in found]
+            value = own.run([w.decode() for w in found])[0] / LN10
             yield pa.RecordBatch.from_arrays([batch.column(0), i64(np.array([xxhash.xxh3_64_intdigest(w) for w in found], np.uint64)), batch.column(1), batch.column(2), pa.array(value, pa.float64())], names=["word", "h", "train", "rest", "lp"])
 
     scored = written(words.mapInArrow(weigh, "word binary, h long, train long, rest long, lp double"))
@@ -206,19 +245,22 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
                         n_known += n * v[0]
                         base_ += n * v[1]
                         lp += n * v[2]
-                for c, x in zip(cols, (doc, row, 0, tokens, n_known, base_, lp, 1), strict=True):
+                for c, x in zip(cols, (doc, row, row & (1 << 64) - 1, tokens, n_known, base_, lp, 1), strict=True):
                     c.append(x)
             doc, row, h, *rest = cols
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(row, pa.int64()), i64(np.array(h, np.uint64)), *(pa.array(x, t) for x, t in zip(rest, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32()), strict=True))], names=["doc_id", "row", "h", "n", "known", "base", "lp", "whole"])
 
-    # One pass gives, per document, a row of what the frequent words sum to and a row for each other word; only the latter is joined.
+    # One pass gives, per document, a row of what the frequent words sum to and a row for each other word.  Both go
+    # through one join: only the latter meet their word, the former only travel with them, dealt by a hash of the text.
     seen = base.select("doc_id", "text").mapInArrow(read, "doc_id long, row long, h long, n long, known long, base double, lp double, whole int")
-    rare = seen.filter("whole = 0").select("doc_id", "row", "h", "n").join(scored.select("h", "train", F.col("lp").alias("w")), "h").select(
-        "doc_id", "row", F.lit(0).cast("long").alias("n"), F.when(F.col("train") > 0, F.col("n")).otherwise(0).alias("known"),
-        (F.col("n") * F.log10((F.col("train") + ALPHA) / below)).alias("base"), (F.col("n") * F.col("w")).alias("lp"), F.lit(0).alias("whole"),
+    word = scored.select(F.col("h").alias("wh"), "train", F.col("lp").alias("w"), F.lit(0).alias("of"))
+    met = seen.join(word, (F.col("h") == F.col("wh")) & (F.col("whole") == F.col("of")), "left")
+    rare = F.col("whole") == 0
+    whole = met.select(
+        "doc_id", "row", F.when(rare, 0).otherwise(F.col("n")).alias("n"), F.when(~rare, F.col("known")).when(F.col("train") > 0, F.col("n")).otherwise(0).alias("known"),
+        F.when(rare, F.col("n") * F.log10((F.col("train") + ALPHA) / below)).otherwise(F.col("base")).alias("base"), F.when(rare, F.col("n") * F.col("w")).otherwise(F.col("lp")).alias("lp"), F.col("whole"),
     )
-    whole = seen.filter("whole = 1").drop("h")
-    sums = whole.unionByName(rare).groupBy("doc_id", "row").agg(*[F.sum(c).alias(c) for c in ("n", "known", "base", "lp", "whole")])
+    sums = whole.groupBy("doc_id", "row").agg(*[F.sum(c).alias(c) for c in ("n", "known", "base", "lp", "whole")])
     fold = crc_mod(F.col("doc_id"), FOLDS)
     # Repeated rows were summed together; each gets its share and its row back.
     each = lambda c, kind: (F.col(c) / F.col("whole")).cast(kind)
