@@ -67,12 +67,12 @@ def gaps(per_sequence: DataFrame, keys: list[str], sums: list[str]) -> DataFrame
     sequences meet in one task: a key has a row for each slice.
     """
     inside = Window.partitionBy("slice", *keys).orderBy("sid")
-    within = per_sequence.withColumn("__g", F.col("sid") - F.lag("sid").over(inside)).groupBy("slice", *keys).agg(
-        F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.coalesce(F.max("__g"), F.lit(0)).alias("g"), F.count(F.lit(1)).alias("k"), *[F.sum(c).alias(c) for c in sums]
+    within = per_sequence.withColumn("__gap", F.col("sid") - F.lag("sid").over(inside)).groupBy("slice", *keys).agg(
+        F.min("sid").alias("__lo"), F.max("sid").alias("__hi"), F.coalesce(F.max("__gap"), F.lit(0)).alias("__in"), F.count(F.lit(1)).alias("__n"), *[F.sum(c).alias(c) for c in sums]
     )
     across = Window.partitionBy(*keys).orderBy("slice")
-    return within.withColumn("__b", F.coalesce(F.col("lo") - F.lag("hi").over(across), F.lit(0))).groupBy(*keys).agg(
-        F.min("lo").alias("first_sid"), F.max("hi").alias("last_sid"), F.greatest(F.max("g"), F.max("__b")).alias("intra"), F.sum("k").alias("support"), *[F.sum(c).alias(c) for c in sums]
+    return within.withColumn("__over", F.coalesce(F.col("__lo") - F.lag("__hi").over(across), F.lit(0))).groupBy(*keys).agg(
+        F.min("__lo").alias("first_sid"), F.max("__hi").alias("last_sid"), F.greatest(F.max("__in"), F.max("__over")).alias("intra"), F.sum("__n").alias("support"), *[F.sum(c).alias(c) for c in sums]
     )
 
 
