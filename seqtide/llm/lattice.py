@@ -194,6 +194,18 @@ def learn(words: DataFrame, ends: int, model: bytes) -> tuple[Lattice, float]:
     return Lattice(first.pieces, log[: len(first.pieces)], log[len(first.pieces) :]), math.log((GIVEN + ends) / total)
 
 
+def _commonest(scored: DataFrame) -> DataFrame:
+    """The commonest words, FREQUENT at most: those above a count that a histogram of eighths of octaves gives."""
+    eighth = F.floor(F.log2(F.col("train") + F.col("rest")) * 8)
+    least, held = 1 << 20, 0
+    for r in sorted(scored.groupBy(eighth.alias("e")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["e"]):
+        held += r["n"]
+        if held > FREQUENT:
+            break
+        least = r["e"]
+    return scored.filter(eighth >= least)
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -223,7 +235,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
             yield pa.RecordBatch.from_arrays([batch.column(0), i64(np.array([xxhash.xxh3_64_intdigest(w) for w in found], np.uint64)), batch.column(1), batch.column(2), pa.array(value, pa.float64())], names=["word", "h", "train", "rest", "lp"])
 
     scored = written(words.mapInArrow(weigh, "word binary, h long, train long, rest long, lp double"))
-    common = scored.orderBy(F.desc(F.col("train") + F.col("rest")), "word").limit(FREQUENT).select("word", "train", "lp").toArrow()
+    common = _commonest(scored).select("word", "train", "lp").toArrow()
     by_word = dict(zip(common["word"].to_pylist(), zip([int(c > 0) for c in common["train"].to_pylist()], [math.log10((c + ALPHA) / below) for c in common["train"].to_pylist()], common["lp"].to_pylist(), strict=True), strict=True))
     frequent = spark.sparkContext.broadcast(by_word)
     end = (int(ends > 0), math.log10((ends + ALPHA) / below), end_weight / LN10)
