@@ -201,6 +201,55 @@ LABELLED = """
 100 2 3 100 10 0 0 0 1 0 0 0
 150 0 2 0 3 0 0 0 1 0 0 0
 85 0 30 0 14 0 0 0 1 0 0 0
+33 0 2 100 33 0 0 0 0 0 0 1
+33 0 2 100 33 0 0 0 1 0 0 0
+33 0 2 100 33 0 1 0 0 0 0 0
+33 0 33 0 3 0 0 0 0 0 0 1
+33 0 33 0 3 0 0 0 1 0 0 0
+33 0 33 0 3 0 1 0 0 0 0 0
+40 2 55 0 0 0 0 0 0 0 0 1
+40 2 55 0 0 0 0 0 1 0 0 0
+40 2 55 0 0 0 1 0 0 0 0 0
+25 0 20 0 18 0 0 0 0 0 0 1
+25 0 20 0 18 0 0 0 1 0 0 0
+25 0 20 0 18 0 1 0 0 0 0 0
+18 0 40 0 22 0 0 0 0 0 0 1
+18 0 40 0 22 0 0 0 1 0 0 0
+18 0 40 0 22 0 1 0 0 0 0 0
+62 1 3 100 4 100 0 0 0 0 0 1
+62 1 3 100 4 100 0 0 1 0 0 0
+62 1 3 100 4 100 1 0 0 0 0 0
+14 0 28 0 35 0 0 0 0 0 0 1
+14 0 28 0 35 0 0 0 1 0 0 0
+14 0 28 0 35 0 1 0 0 0 0 0
+28 6 44 3 2 100 0 0 0 0 0 1
+28 6 44 3 2 100 0 0 1 0 0 0
+28 6 44 3 2 100 1 0 0 0 0 0
+90 0 0 0 0 0 0 0 0 0 0 1
+90 0 0 0 0 0 0 0 1 0 0 0
+90 0 0 0 0 0 1 0 0 0 0 0
+21 0 16 0 95 0 0 0 0 0 0 1
+21 0 16 0 95 0 0 0 1 0 0 0
+21 0 16 0 95 0 1 0 0 0 0 0
+12 0 52 0 47 0 0 0 0 0 0 1
+12 0 52 0 47 0 0 0 1 0 0 0
+12 0 52 0 47 0 1 0 0 0 0 0
+75 3 10 0 30 2 0 0 0 0 0 1
+75 3 10 0 30 2 0 0 1 0 0 0
+75 3 10 0 30 2 1 0 0 0 0 0
+10 0 36 0 29 0 0 0 0 0 0 1
+10 0 36 0 29 0 0 0 1 0 0 0
+10 0 36 0 29 0 1 0 0 0 0 0
+50 0 80 0 10 60 0 0 0 0 0 1
+50 0 80 0 10 60 0 0 1 0 0 0
+50 0 80 0 10 60 1 0 0 0 0 0
+3 0 4 0 5 0 0 0 0 0 0 0
+8 0 3 100 2 0 0 0 0 0 0 0
+5 0 33 0 0 0 0 0 0 0 0 0
+2 0 9 0 40 0 0 0 0 0 0 0
+6 40 30 0 28 0 0 0 0 0 0 0
+4 0 2 100 6 0 0 0 0 0 0 0
+7 0 5 0 8 20 0 0 0 0 0 0
 """
 
 
