@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-OCCURRENCES = ["sid", "ev", "pos", "item", "util"]
+from .tables import written
 
 
 def read_profits(spark: SparkSession, path: str) -> DataFrame:
@@ -47,20 +47,20 @@ def parse_sequences(lines: DataFrame, profits: DataFrame, default_profit: int =
     quantity = F.regexp_extract("t", token, 2) if strict else F.concat(F.regexp_extract("t", token, 2), F.regexp_extract("t", token, 3))
     rows = tokens.select("line", "e", F.regexp_extract("t", token, 1).try_cast("int").alias("item"), F.when(quantity == "", F.lit(1)).otherwise(quantity.try_cast("bigint")).alias("q")).filter("item IS NOT NULL AND q IS NOT NULL")
     priced = rows.join(profits, "item", "left").withColumn("util", F.col("q") * F.coalesce("profit", F.lit(default_profit)))
-    sids = priced.select("line").distinct().withColumn("sid", dense_ids("line"))
+    priced = written(priced.select("line", "e", "item", "util"))
+    sids = ordered_ids(priced.select("line").distinct(), "line")
     return priced.join(sids, "line").select("sid", F.dense_rank().over(Window.partitionBy("sid").orderBy("e")).cast("int").alias("ev"), "item", "util").withColumn("ev", F.col("ev") - 1)
 
 
-def dense_ids(*order: str | Column) -> Column:
-    """Numbers from 0 in that order, over one row per sequence: sequence ids are positions in the stream."""
-    return (F.row_number().over(Window.orderBy(*order)) - 1).cast("long")
-
-
 def ordered_ids(keys: DataFrame, *order: str) -> DataFrame:
-    """keys with sid from 0 in the given order, without a single-task sort: a range sort, then counts before each range."""
+    """keys with sid from 0 in the given order: a range sort, each range numbered by itself, and the counts of the ranges before it.
+
+    The ranges are written first, so that both uses of them see the same cuts; only one number
+    for each range meets in one task.
+    """
     slots = keys.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    slots = slots.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
-    before = slots.groupBy("__p").agg(F.max("__n").alias("c")).withColumn("__before", F.coalesce(F.sum("c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c")
+    slots = written(slots.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(*order))))
+    before = slots.groupBy("__p").agg(F.max("__n").alias("__c")).withColumn("__before", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__c")
     return slots.join(before, "__p").withColumn("sid", (F.col("__before") + F.col("__n") - 1).cast("long")).drop("__p", "__n", "__before")
 
 
