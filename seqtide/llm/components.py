@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ._common import written
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    r = edges.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
-    return r["n"], int(r["h"])
+def _counted(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """The edges, written, with their number and an order-free hash, seen while they were written."""
+    seen = Observation()
+    out = written(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")))
+    return out, (seen.get["n"], int(seen.get["h"]))
 
 
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
@@ -20,17 +22,16 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     never grows, and the number of steps is logarithmic in practice.  Nulls and loops are passed over.
     """
     e = edges.select(F.greatest(u, v).cast("long").alias("u"), F.least(u, v).cast("long").alias("v")).filter(f"{u} IS NOT NULL AND {v} IS NOT NULL AND {u} <> {v}").distinct()
-    e = written(e)
-    before = _state(e)
+    e, before = _counted(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # The minima are written first: the join then has exchanges of its own on both sides, and Spark can split a hub.
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = written(large)
-        own = large.groupBy("u").agg(F.min("v").alias("m"))
+        own = written(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(own, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(own.withColumnRenamed("m", "v")).filter("u <> v")
-        e = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        after = _state(e)
+        e, after = _counted(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         if after == before:
             break
         before = after
