@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+import ctypes
+import gc
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +11,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ARROW_ROWS = 1000
-HASH_CACHE = 200_000
+from ..sources.tables import shared_dir, written
+
+__all__ = ["LONG", "Memo", "Powers", "WordHash", "crc_mod", "documents", "held", "i64", "mix", "release", "shared_dir", "small_batches", "texts", "word_hashes", "written"]
+
+ARROW_ROWS = 500
+HASH_CACHE = 100_000
+#: Longer words are not remembered, so that what a worker or a broadcast holds is bounded in bytes.
+LONG = 64
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -26,46 +31,29 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests), one made on this machine."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if at:
-        return at.rstrip("/")
-    global _LOCAL
-    if _LOCAL is None:
-        _LOCAL = "file://" + tempfile.mkdtemp(prefix="seqtide-")
-    return _LOCAL
-
-
-_LOCAL: str | None = None
-_WRITTEN: list[tuple[SparkSession, str]] = []
-
+_HELD: list = [None, None]
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df as Parquet into the shared folder and read it again.
 
-    A lost executor then costs a re-read, not a recomputation.  The tables go when the
-    application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/seqtide-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not _WRITTEN:
-        atexit.register(_clean)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+def held(key, make):
+    """What a worker keeps between tasks: one object, that of the operator that ran last."""
+    if _HELD[0] != key:
+        release()
+        _HELD[:] = [key, make()]
+    return _HELD[1]
 
 
-def _clean() -> None:
-    for spark, path in _WRITTEN:
-        if spark.sparkContext._jsc is None:
-            continue
-        to = spark._jvm.org.apache.hadoop.fs.Path(path)
-        to.getFileSystem(spark._jsc.hadoopConfiguration()).delete(to, True)
+def release() -> None:
+    """Forget what an operator before has left in this worker, and give free memory back to the machine."""
+    _HELD[:] = [None, None]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
 
 
 class Memo(dict):
-    """Remembers make(key) for the keys of late, at most 2 * limit: once `limit` keys are new, the older ones go. Changes no value."""
+    """Remembers make(key) for keys of late, at most 2 * limit of at most LONG bytes or characters each: once `limit` keys are new, the older ones go. Changes no value."""
 
     def __init__(self, make, limit: int) -> None:
         super().__init__()
@@ -75,10 +63,11 @@ class Memo(dict):
         v = self.old.get(key)
         if v is None:
             v = self.make(key)
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        self[key] = v
+        if len(key) <= LONG:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[key] = v
         return v
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import Memo, small_batches
+from ._common import Memo, held, small_batches
 
 CACHE_PIECES = 400_000
 
@@ -102,14 +102,9 @@ class Encoder(Memo):
         return b"".join(map(self.__getitem__, self.pieces(text)))
 
 
-_HELD: dict[str | None, Encoder] = {}
-
-
 def held_encoder(path: str | None, ranks: dict[bytes, int]) -> Encoder:
     """The worker's encoder for that vocabulary; its memory outlives a task."""
-    if path not in _HELD:
-        _HELD[path] = Encoder(ranks)
-    return _HELD[path]
+    return held(("bpe", path), lambda: Encoder(ranks))
 
 
 def decoder(ranks: dict[bytes, int]) -> list[bytes]:

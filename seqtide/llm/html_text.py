@@ -98,8 +98,12 @@ def blocks(page: str | None) -> list[Block]:
                 if open_[k][0] in BLOCK_TAGS and not block:
                     break
         elif name not in VOID_TAGS and not m[3].rstrip().endswith("/"):
-            if block and open_ and open_[-1][0] == "p":
-                shut(len(open_) - 1)
+            for k in range(len(open_) - 1, -1, -1) if block else ():
+                if open_[k][0] == "p":  # a new block ends a paragraph, with what is open inside it
+                    shut(k)
+                    break
+                if open_[k][0] in BLOCK_TAGS:
+                    break
             given = m[3]
             is_bad = name in BAD_TAGS
             if given and not is_bad:

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+import struct
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -22,41 +23,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import crc_mod, small_batches, texts
+from ._common import LONG, crc_mod, held, release, small_batches, texts
 
 ORDER = 4
 #: Labelled rows to fit on for each language, in expectation; the sample is by hash of the id.
 SAMPLE = 600
 FOLDS = 5
-CACHE_WORDS = 500_000
-CACHE_GRAMS = 400_000
-#: Words of a text coded in one step, and bytes of new words coded together.
-STEP_WORDS, STEP_BYTES = 8192, 200_000
+CACHE_WORDS = 300_000
+CACHE_GRAMS = 300_000
+#: Words of a text coded in one step (at most STEP_WORDS * LONG bytes), and the longest word that uses the gram table.
+STEP_WORDS, STEP_BYTES = 2048, 200_000
 UNKNOWN = "und"
 _LETTER = re.compile(rb"[A-Za-z]")
 
-Tree = dict[bytes, dict[int, int]]
+#: Context -> the bytes that followed it, then their counts, packed.
+Tree = dict[bytes, bytes]
 
 
 def has_letter(text: bytes | None) -> bool:
     return text is not None and (bool(_LETTER.search(text)) or any(map(str.isalpha, text.decode("utf-8", "replace"))))
 
 
-def grow(words: Counter[bytes], order: int = ORDER) -> Tree:
-    tree: Tree = defaultdict(lambda: defaultdict(int))
+def follow(words: Counter[bytes], order: int = ORDER) -> dict[bytes, dict[int, int]]:
+    """Counts of the bytes that follow each context in the words."""
+    out: dict[bytes, dict[int, int]] = defaultdict(lambda: defaultdict(int))
     for word, n in words.items():
         s = b" " + word + b" "
         for i in range(1, len(s)):
             for k in range(max(0, i - order), i + 1):
-                tree[s[k:i]][s[i]] += n
-    return tree
+                out[s[k:i]][s[i]] += n
+    return out
+
+
+def pack(counts: dict[int, int]) -> bytes:
+    return bytes(counts) + struct.pack(f"<{len(counts)}Q", *counts.values())
+
+
+def unpack(node: bytes) -> dict[int, int]:
+    n = len(node) // 9
+    return dict(zip(node[:n], struct.unpack_from(f"<{n}Q", node, n), strict=True))
+
+
+def grow(words: Counter[bytes], order: int = ORDER) -> Tree:
+    return {context: pack(counts) for context, counts in follow(words, order).items()}
 
 
 def code_length(tree: Tree, context: bytes, byte: int) -> float:
     """Bits for the byte after the context."""
     bits, seen = 0.0, set()
     while True:
-        left = {b: n for b, n in tree.get(context, {}).items() if b not in seen}
+        left = {b: n for b, n in unpack(tree.get(context, b"")).items() if b not in seen}
         if left:
             total = sum(left.values()) + len(left)
             if byte in left:
@@ -83,19 +99,20 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col
     picked = labelled.filter(place < share[F.col("lang")]).select("text", "lang")
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         words: dict[str, Counter[bytes]] = defaultdict(Counter)
         for batch in batches:
             for text, lang in zip(texts(batch), batch.column(1).to_pylist(), strict=True):
                 words[lang].update(text.split())
         for lang, found in words.items():
-            rows = [(c, b, n) for c, after in grow(found, order).items() for b, n in after.items()]
+            rows = [(c, b, n) for c, after in follow(found, order).items() for b, n in after.items()]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), *(pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int32(), pa.int64()), strict=True))] if rows else [pa.array([], t) for t in (pa.string(), pa.binary(), pa.int32(), pa.int64())], names=["lang", "context", "byte", "n"])
 
+    nodes = picked.mapInArrow(fn, "lang string, context binary, byte int, n long").groupBy("lang", "context", "byte").agg(F.sum("n").alias("n")).groupBy("lang", "context").agg(F.collect_list("byte").alias("bytes"), F.collect_list("n").alias("ns"))
     trees: dict[str, Tree] = {lang: {} for lang in sorted(counts)}
-    summed = picked.mapInArrow(fn, "lang string, context binary, byte int, n long").groupBy("lang", "context", "byte").agg(F.sum("n").alias("n"))
-    for part in summed.toArrow().to_batches():
-        for lang, context, byte, n in zip(*(c.to_pylist() for c in part.columns), strict=True):
-            trees[lang].setdefault(context, {})[byte] = n
+    for part in nodes.toArrow().to_batches():
+        for lang, context, after, n in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            trees[lang][context] = pack(dict(zip(after, n, strict=True)))
     return trees
 
 
@@ -146,17 +163,22 @@ class Scorer:
             known.clear()
             new = list(dict.fromkeys(words))
         if new:
-            rows = [self._long(w)[None] if len(w) > STEP_BYTES else self._code([w]) for w in new] if sum(map(len, new)) > STEP_BYTES else [self._code(new)]
             first = len(known)
             known.update(zip(new, range(first, first + len(new)), strict=True))
-            self.of_word[first : first + len(new)] = np.concatenate(rows)
+            self.of_word[first : first + len(new)] = self._code(new)
         return self.of_word[[known[w] for w in words]]
 
     def bits(self, text: bytes) -> np.ndarray:
         """Bits of the whole text by language."""
         words, total = text.split(), np.zeros(len(self.trees))
-        for at in range(0, len(words), STEP_WORDS):
-            total += self._rows(words[at : at + STEP_WORDS]).sum(0)
+        if max(map(len, words), default=0) > LONG:
+            for word in words:
+                if len(word) > LONG:
+                    total += self._code([word])[0] if len(word) <= STEP_BYTES else self._long(word)
+            words = [w for w in words if len(w) <= LONG]
+        step = min(STEP_WORDS, len(self.of_word), max(1, len(self.of_gram) // (LONG + 2)))
+        for at in range(0, len(words), step):
+            total += self._rows(words[at : at + step]).sum(0)
         return total
 
     def best(self, text: bytes | None) -> tuple[str, float, float | None]:
@@ -168,17 +190,6 @@ class Scorer:
         return self.langs[k], float(1 / np.exp2(np.maximum(bits[k] - bits, -1000)).sum()), float(bits[k] / len(text))
 
 
-_HELD: dict[str, Scorer] = {}
-
-
-def held_scorer(key: str, trees: dict[str, Tree], order: int) -> Scorer:
-    """The worker's scorer of one model; its memory outlives a task."""
-    if key not in _HELD:
-        _HELD.clear()
-        _HELD[key] = Scorer(trees, order)
-    return _HELD[key]
-
-
 def predict(docs: DataFrame, trees: dict[str, Tree], text_col: str = "text", order: int = ORDER) -> DataFrame:
     """docs with lang_pred, score and bits_per_byte (null if und), in place of columns of those names.
 
@@ -186,13 +197,13 @@ def predict(docs: DataFrame, trees: dict[str, Tree], text_col: str = "text", ord
     """
     small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score", "bits_per_byte")
-    given = docs.sparkSession.sparkContext.broadcast({k: dict(v) for k, v in trees.items()})
+    given = docs.sparkSession.sparkContext.broadcast(trees)
     key = uuid.uuid4().hex
     names = [*docs.columns, "lang_pred", "score", "bits_per_byte"]
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = held_scorer(key, given.value, order)
+        scorer = held(("langid", key), lambda: Scorer(given.value, order))
         for batch in batches:
             lang, score, rate = zip(*map(scorer.best, texts(batch, text_col)), strict=True) if batch.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], names=names)

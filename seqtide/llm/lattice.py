@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import crc_mod, i64, small_batches, texts, written
+from ._common import LONG, crc_mod, i64, release, small_batches, texts, written
 
 FOLDS = 10
 FREQUENT = 65_536
@@ -149,6 +149,7 @@ def first_weights(model: bytes) -> Lattice:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct words of the task with their counts in training rows and in others."""
+    release()
     seen: tuple[Counter[bytes], Counter[bytes]] = (Counter(), Counter())
 
     def rows() -> pa.RecordBatch:
@@ -175,6 +176,7 @@ def learn(words: DataFrame, ends: int, model: bytes) -> tuple[Lattice, float]:
     given = words.sparkSession.sparkContext.broadcast(model)
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         lattice = first_weights(given.value)
         uses, byte_uses = np.zeros(len(lattice.pieces)), np.zeros(256)
         for batch in batches:
@@ -195,7 +197,8 @@ def learn(words: DataFrame, ends: int, model: bytes) -> tuple[Lattice, float]:
 
 
 def _commonest(scored: DataFrame) -> DataFrame:
-    """The commonest words, FREQUENT at most: those above a count that a histogram of eighths of octaves gives."""
+    """The commonest words of at most LONG bytes, FREQUENT at most: those above a count that a histogram of eighths of octaves gives."""
+    scored = scored.filter(F.length("word") <= LONG)
     eighth = F.floor(F.log2(F.col("train") + F.col("rest")) * 8)
     least, held = 1 << 20, 0
     for r in sorted(scored.groupBy(eighth.alias("e")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["e"]):
@@ -228,6 +231,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     parts = spark.sparkContext.broadcast((lattice.pieces, lattice.weights, lattice.bytes))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         own = Lattice(*parts.value)
         for batch in batches:
             found = batch.column(0).to_pylist()
@@ -241,6 +245,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     end = (int(ends > 0), math.log10((ends + ALPHA) / below), end_weight / LN10)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         get = frequent.value.get
         for batch in batches:
             cols: tuple[list, ...] = ([], [], [], [], [], [], [], [])

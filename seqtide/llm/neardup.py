@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WordHash, i64, mix, small_batches, texts, word_hashes, written
+from ._common import WordHash, i64, mix, release, small_batches, texts, word_hashes, written
 from .components import connected_components
 
 SHINGLE = 5
@@ -61,6 +61,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, digest1, digest2, sig of every row of docs(doc_id, text)."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         cache = WordHash()
         for batch in batches:
             n, one, two, sig = [], [], [], []
@@ -89,6 +90,7 @@ def _links(percent: int):
     """Links of each cell that join: rows come sorted by cell, with the block of each document."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         cache, cell, held = WordHash(), None, []
 
         def compare() -> list[tuple[int, int]]:

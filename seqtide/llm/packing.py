@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import small_batches, written
+from ._common import held, small_batches, written
 
 LONGEST = 1024
 END = b"\0\0\0\0"
@@ -38,15 +38,10 @@ def vocabulary_ranks(vocabulary: str) -> dict[bytes, int]:
     return {bytes(byte[c] for c in token): i for token, i in data["model"]["vocab"].items() if token not in special}
 
 
-_HELD: dict[int, tiktoken.Encoding] = {}
-
-
 def held_encoding(vocabulary: str) -> tiktoken.Encoding:
     """The worker's encoder for that vocabulary: the ids that the tokenizers library gives, made several times faster."""
-    key = zlib.crc32(vocabulary.encode())
-    if key not in _HELD:
-        _HELD[key] = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary_ranks(vocabulary), special_tokens={})
-    return _HELD[key]
+    make = lambda: tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary_ranks(vocabulary), special_tokens={})
+    return held(("packing", zlib.crc32(vocabulary.encode())), make)
 
 
 def cuts(n: int, longest: int = LONGEST) -> list[int]:

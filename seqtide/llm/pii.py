@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import small_batches, texts
+from ._common import release, small_batches, texts
 
 ROUNDS = 10
 KEY = b"seqtide"
@@ -30,6 +30,14 @@ LOWER, UPPER, DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
+def _stream(data: bytes, key: bytes, n: int) -> bytes:
+    """n bytes that depend on all of the data and the key."""
+    if n <= 64:
+        return hashlib.blake2b(data, key=key[:64], digest_size=n).digest()
+    seed = hashlib.blake2b(data, key=key[:64]).digest()
+    return b"".join(hashlib.blake2b(seed + k.to_bytes(4, "big"), key=key[:64]).digest() for k in range(-(-n // 64)))[:n]
+
+
 def permute(value: int, domain: int, tweak: bytes, key: bytes = KEY) -> int:
     """A keyed permutation of range(domain): Feistel rounds on the least even number of bits, cycle-walked into the domain."""
     if domain < 2:
@@ -39,7 +47,7 @@ def permute(value: int, domain: int, tweak: bytes, key: bytes = KEY) -> int:
     while True:
         left, right = value >> half, value & mask
         for i in range(ROUNDS):
-            out = hashlib.blake2b(right.to_bytes(size, "big") + bytes([i]) + tweak, key=key[:64], digest_size=min(64, size + 8)).digest()
+            out = _stream(right.to_bytes(size, "big") + bytes([i]) + tweak, key, size + 8)
             left, right = right, left ^ (int.from_bytes(out, "big") & mask)
         value = left << half | right
         if value < domain:
@@ -250,6 +258,7 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: bytes = KEY) -> D
     arrow = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         names_, pseudonyms = names, Pseudonyms(key)
         for batch in batches:
             out, spans = [], []

@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import Powers, WordHash, i64, mix, small_batches, texts, word_hashes, written
+from ._common import Powers, WordHash, i64, mix, release, small_batches, texts, word_hashes, written
 
 GRAM = 5
-BLOCK = 400_000
+BLOCK = 150_000
 #: An anchor with more contexts than this in one block is dealt out by context.
 MANY = 16
 SALTS = 251
@@ -73,6 +73,7 @@ def _first_of(keys: list[np.ndarray], rows: list[np.ndarray]) -> tuple[np.ndarra
 
 def _seed_rows(size: int, block: int, many: int):
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         cache, powers, parts, held = WordHash(), Powers(_BASES[1]), [], 0
 
         def flush() -> pa.RecordBatch:
@@ -116,6 +117,7 @@ def _seed_rows(size: int, block: int, many: int):
 
 def _window_rows(size: int, block: int):
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         cache, one, two, parts, held = WordHash(), Powers(_BASES[0]), Powers(_BASES[1]), [], 0
 
         def flush() -> pa.RecordBatch:
@@ -190,6 +192,7 @@ def removal_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Per row: doc_id, n_words, n_removed and the SHA-256 of the kept words joined by one space. Null text: no words."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             n, gone, sha = [], [], []
             for text, spans in zip(texts(batch), batch.column(2).to_pylist(), strict=True):
@@ -214,6 +217,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = _with_spans(docs, id_col, text_col, min_words)
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             out = []
             for text, spans in zip(texts(batch, text_col), batch.column(batch.schema.get_field_index("__spans")).to_pylist(), strict=True):

@@ -92,6 +92,12 @@ def test_html_without_article():
     assert html_text.main_text(page, tree) == f"{text}\n\n{text}"
 
 
+def test_html_unclosed_tags():
+    tree = html_text.grow_tree(*html_text.labelled())
+    page = "<article><h1>A</h1><p><a href=x>one<p><b>two<br><i>three<p>four words are here<div class='share-buttons'><p>Share</div>five</article><p>after"
+    assert html_text.main_text(page, tree) == "A\n\none\n\ntwo three\n\nfour words are here\n\nfive"
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 5), (2, None, None, 6), (None, "v", "", 7), (1, "u", PAGE, 8)], "page_id long, url string, html string, text int")
     out = html_text.extract(pages).collect()
@@ -132,7 +138,8 @@ def test_pii_formats():
 def test_pii_long_and_joined():
     find = pii.Pseudonyms()
     long = "a" * 500 + "@mail.example.com"
-    assert find.replace(long)[1] == [{"start": 0, "end": len(long), "kind": "email"}]
+    new, spans = find.replace(long)
+    assert spans == [{"start": 0, "end": len(long), "kind": "email"}] and new[:500].count("a") < 60
     text = ("word " * 3000) + "4041894974608795 " + ("word " * 3000)
     assert len(find.replace(text)[1]) == 1
 
@@ -163,8 +170,8 @@ def test_code_lengths_are_probabilities():
     tree = langid.grow(Counter({b"the": 3, b"then": 1, b"on": 2}))
     for context in (b"", b" ", b" t", b" the", b"zz"):
         assert abs(sum(2 ** -langid.code_length(tree, context, b) for b in range(256)) - 1) < 1e-9
-    small, large = langid.Scorer({"a": tree}, words=50, grams=60), langid.Scorer({"a": tree})
-    text = b"the then other on words of all kinds thenceforth " * 40 + b"x" * 100
+    small, large = langid.Scorer({"a": tree}, words=50, grams=5000), langid.Scorer({"a": tree})
+    text = b"the then other on words of all kinds thenceforth " * 40 + b" ".join(b"w%d" % (k % 90) for k in range(900)) + b"x" * 100
     assert np.allclose(small.bits(text), large.bits(text))
 
 
