@@ -154,9 +154,3 @@ def _mine(db: DataFrame, min_util: int, bound: int | None, n: int, options: Opti
 
 def answer(mined: DataFrame) -> DataFrame:
     return mined.select("pattern", "utility", "periodicity")
-
-
-def reference_periods(per_sequence: DataFrame, n: int) -> DataFrame:
-    """pattern, utility, periodicity of rows (pattern, sid, u): the definitions of utility and longest gap, without pruning."""
-    g = stats.gaps(stats.sliced(per_sequence.withColumnRenamed("u", "utility")), ["pattern"], ["utility"])
-    return g.select("pattern", "utility", F.greatest(F.col("first_sid") + 1, F.col("intra"), F.lit(n) - F.col("last_sid")).alias("periodicity"))

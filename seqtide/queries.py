@@ -223,7 +223,7 @@ for _name, _ratios in V.SPLITS.items():
     for _k, _r in enumerate(_ratios[:-1]):
         _before = f"least(n, {_before} + floor(n * {_r!r}::DOUBLE + 0.5))"
         _cases.append(f"WHEN sid < {_before} THEN {_k}")
-    _add(f"batch_split_{_name}", f"{_q('sess')} SELECT CASE {' '.join(_cases)} ELSE {len(_ratios) - 1} END AS batch_id, count(DISTINCT sid) AS sequences, CAST(sum(util) AS BIGINT) AS utility FROM q, tot GROUP BY 1" if len(_ratios) < 8 else None)(_split(_name))
+    _add(f"batch_split_{_name}", f"{_q('sess')} SELECT CASE {' '.join(_cases)} ELSE {len(_ratios) - 1} END AS batch_id, count(DISTINCT sid) AS sequences, CAST(sum(util) AS BIGINT) AS utility FROM q, tot GROUP BY 1")(_split(_name))
 
 
 @_add("rhusp_minus_husp", f"{_answer('sess', SESS)} AND false")

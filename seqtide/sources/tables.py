@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -26,7 +27,7 @@ def written(df: DataFrame) -> DataFrame:
     spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/seqtide-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _WRITTEN:
-        atexit.register(_clean)
+        atexit.register(_clean)  # before Spark's own, which stops the context
     _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -36,3 +37,5 @@ def _clean() -> None:
         if spark.sparkContext._jsc is not None:
             to = spark._jvm.org.apache.hadoop.fs.Path(path)
             to.getFileSystem(spark._jsc.hadoopConfiguration()).delete(to, True)
+    if _LOCAL:
+        shutil.rmtree(_LOCAL.removeprefix("file://"), ignore_errors=True)
