@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from seqtide.llm import langid, neardup, packing, pii, substring
 from seqtide.llm._common import crc_mod, written
 
+#: Percent of shared shingles from which documents are near copies; op9's contract has its own.
+NEAR_PERCENT = 80
 #: Bits a byte over which a text is in none of the learned languages; prose of them takes 2 to 3, and unrelated bytes over 6.
 FOREIGN_BITS = 5.0
 
@@ -32,7 +34,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one of the smallest id."""
-    return neardup.keep_one(docs).select(*docs.columns)
+    return neardup.keep_one(docs, percent=NEAR_PERCENT).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,3 +51,14 @@ def test_stages_return_the_columns_of_documents(spark, rows, tmp_path):
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).collect() == []
+
+
+def test_near_copies_from_a_similarity_of_80_percent_go(spark, tmp_path):
+    rows = []
+    for k in range(6):
+        own = [f"w{k}x{i}" for i in range(100)]
+        for j, changes in enumerate(([], [20, 60], [10, 40, 70, 90])):  # 86 of 106 shingles shared, and 76 of 116
+            rows.append((10 * k + j, " ".join(f"c{j}" if i in changes else w for i, w in enumerate(own))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()}
+    assert kept == {10 * k + j for k in range(6) for j in (0, 2)}
