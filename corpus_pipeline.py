@@ -1,12 +1,14 @@
 """The training-data pipeline over ``documents``: five stages, each written and read again by run().
 
-Language ID drops what is in no known language, near-dedup keeps one document of each group,
+Language ID drops texts without letters, near-dedup keeps one document of each group,
 substring dedup cuts passages that stand earlier, private values get pseudonyms, and the rest
 is packed.  All but the last stage return the columns of documents.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +17,8 @@ from seqtide.llm._common import crc_mod, written
 
 #: Percent of shared shingles from which documents are near copies; op9's contract has its own.
 NEAR_PERCENT = 80
-#: Bits a byte over which a text is in none of the learned languages; prose of them takes 2 to 3, and unrelated bytes over 6.
-FOREIGN_BITS = 5.0
+#: Bits a byte over which a text counts as foreign: none, as short, upper-case and value-rich texts of learned languages take up to 6.7.
+FOREIGN_BITS = math.inf
 
 
 def _like(docs: DataFrame, out: DataFrame) -> DataFrame:
@@ -26,7 +28,7 @@ def _like(docs: DataFrame, out: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; those without text or letters, or foreign to every language, go."""
+    """Documents with a language; those without text or letters go."""
     trees = langid.fit(docs.filter(crc_mod(F.col("doc_id"), langid.FOLDS) != 0))
     found = langid.predict(docs, trees)
     return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("bits_per_byte") <= FOREIGN_BITS)).select(*docs.columns)

@@ -62,3 +62,12 @@ def test_near_copies_from_a_similarity_of_80_percent_go(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()}
     assert kept == {10 * k + j for k in range(6) for j in (0, 2)}
+
+
+def test_short_upper_case_and_private_texts_stay(spark, rows, tmp_path):
+    odd = ["A.", "Re.", "HE!! IN!! ED, ON!! " * 40, 'token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde" on he', "8316107434564120 the of 4761598977407687", None, "12 34 --"]
+    own = [r for r in rows if r[0] is not None] + [(1000 + k, text, "en") for k, text in enumerate(odd)]
+    docs = spark.createDataFrame(own, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs, str(tmp_path)).collect()}
+    assert kept == {doc for doc, text, _ in own if langid.has_letter(None if text is None else text.encode())}
+    assert {i for i in kept if i >= 1000} == set(range(1000, 1005))
