@@ -254,6 +254,50 @@ LABELLED = """
 6 40 30 0 28 0 0 0 0 0 0 0
 4 0 2 100 6 0 0 0 0 0 0 0
 7 0 5 0 8 20 0 0 0 0 0 0
+6 0 5 0 2 0 0 0 0 0 1 1
+4 0 30 0 5 0 0 0 0 0 1 1
+5 0 30 0 8 0 0 0 0 0 1 1
+6 0 45 0 3 0 0 0 0 0 1 1
+2 0 0 0 60 0 0 0 0 0 1 1
+8 0 3 0 1 0 0 0 0 1 0 1
+1 0 2 0 1 0 0 0 0 1 0 1
+3 0 7 0 2 0 0 0 0 1 0 1
+8 0 30 0 20 0 0 0 0 1 0 1
+5 0 7 0 8 0 0 0 0 1 0 1
+7 0 2 0 20 0 0 0 0 1 0 1
+7 0 45 0 2 0 0 0 0 1 0 1
+2 0 12 0 2 0 0 0 0 1 0 1
+1 0 30 0 20 0 0 0 0 1 0 1
+5 0 30 0 50 0 0 0 0 0 0 1
+1 0 70 0 8 0 0 0 0 0 0 1
+6 0 70 0 3 0 0 0 0 0 0 1
+6 0 50 0 30 0 0 0 0 0 0 1
+1 0 70 0 50 0 0 0 0 0 0 1
+12 0 0 0 6 0 0 0 0 0 0 1
+12 0 0 0 40 0 0 0 0 0 0 1
+9 0 0 0 40 0 0 0 0 0 0 1
+13 0 8 0 3 0 0 0 0 0 0 1
+10 0 8 0 0 0 0 0 0 0 0 1
+10 0 5 0 40 0 0 0 0 0 0 1
+14 0 30 0 6 0 0 0 0 0 0 1
+15 0 2 0 40 0 0 0 0 0 0 1
+12 0 5 0 40 0 0 0 0 0 0 1
+15 0 30 0 3 0 0 0 0 0 0 1
+1 0 9 100 5 0 0 0 0 0 0 0
+3 0 3 100 35 0 0 0 0 0 0 0
+5 0 3 0 45 0 0 0 0 0 0 0
+5 0 9 100 35 0 0 0 0 0 0 0
+4 0 1 100 5 0 0 0 0 0 0 0
+6 0 5 100 8 0 0 0 0 0 0 0
+1 0 5 0 2 0 0 0 0 0 0 0
+6 0 1 100 5 0 0 0 0 0 0 0
+4 0 3 0 2 0 0 0 0 0 0 0
+2 0 1 0 2 0 0 0 0 0 0 0
+1 0 60 0 0 0 0 0 0 0 0 0
+6 0 25 0 0 0 0 0 0 0 0 0
+1 0 40 0 0 0 0 0 0 0 0 0
+4 0 25 0 0 0 0 0 0 0 0 0
+7 0 40 0 0 0 0 0 0 0 0 0
 """
 
 

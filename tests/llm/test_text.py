@@ -92,6 +92,13 @@ def test_html_without_article():
     assert html_text.main_text(page, tree) == f"{text}\n\n{text}"
 
 
+def test_html_short_blocks_without_article():
+    tree = html_text.grow_tree(*html_text.labelled())
+    text = "A paragraph that goes on for quite a while and tells the reader about the matter at hand in some detail." + " It has more to say." * 6
+    page = f"<ul class=nav><li><a>Home</a><li><a>News</a></ul><h1>Title</h1><p>{text}</p><p>So it goes.</p><p>{text}</p><h2>Two words</h2><ul><li>one</li><li>two of them</li></ul><p>{text}</p><p>Not yet.</p><h3>The end</h3><p>{text}</p><ul><li><a>More</a></ul>"
+    assert html_text.main_text(page, tree).split("\n\n") == ["Title", text, "So it goes.", text, "Two words", "one", "two of them", text, "Not yet.", "The end", text]
+
+
 def test_html_unclosed_tags():
     tree = html_text.grow_tree(*html_text.labelled())
     page = "<article><h1>A</h1><p><a href=x>one<p><b>two<br><i>three<p>four words are here<div class='share-buttons'><p>Share</div>five</article><p>after"
