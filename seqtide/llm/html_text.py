@@ -25,6 +25,9 @@ BAD_TAGS = frozenset("nav header footer aside form button menu dialog head".spli
 MAIN_TAGS = frozenset("article main".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BAD_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|disclaimer|footer|form|header|legal|login|masthead|menu|modal|nav\w*|newsletter|notices?|pagination|popup|promo\w*|related|replies|reply|search|share|sharing|sidebars?|signup|social|sponsor\w*|subscribe|tags|toolbar|widget)(?:$|[\s_-])", re.I)
+# Names of a state, as has-sidebar, that say nothing of what the element holds; elements that hold the page, whatever their names.
+STATE_NAMES = re.compile(r"(?<![^\s_-])(?:has|with|no)[_-]\S+", re.I)
+PAGE_TAGS = MAIN_TAGS | {"html", "body"}
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 _RAW = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(" + "|".join(RAW_TAGS) + r")(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
@@ -107,7 +110,7 @@ def blocks(page: str | None) -> list[Block]:
             given = m[3]
             is_bad = name in BAD_TAGS
             if given and not is_bad:
-                is_bad = any(BAD_NAMES.search(" ".join(x)) for x in _NAMES.findall(given)) or bool(_HIDDEN.search(given)) or (r := _ROLE.search(given)) is not None and r[1].lower() in BAD_ROLES
+                is_bad = name not in PAGE_TAGS and any(BAD_NAMES.search(STATE_NAMES.sub("", " ".join(x))) for x in _NAMES.findall(given)) or bool(_HIDDEN.search(given)) or (r := _ROLE.search(given)) is not None and r[1].lower() in BAD_ROLES
             open_.append((name, is_bad))
             bad += is_bad
             main += name in MAIN_TAGS

@@ -99,6 +99,13 @@ def test_html_short_blocks_without_article():
     assert html_text.main_text(page, tree).split("\n\n") == ["Title", text, "So it goes.", text, "Two words", "one", "two of them", text, "Not yet.", "The end", text]
 
 
+def test_html_names_of_wrappers():
+    tree = html_text.grow_tree(*html_text.labelled())
+    for start in ("<body class='has-sidebar'>", "<body class='home sidebar'>", "<div class='content with-sidebar'>", "<div class='with-right-sidebar'>", "<div id=no-comments>", "<html class=no_menu><body>"):
+        assert html_text.main_text(f"{start}<article class='post related'><p>The story.</p><div class='no-ads sidebar'>Aside</div></article><div class=comments>Mine</div>", tree) == "The story.", start
+    assert html_text.main_text("<div class='casino-menu'><article><p>The story.</p></article></div>", tree) == ""
+
+
 def test_html_unclosed_tags():
     tree = html_text.grow_tree(*html_text.labelled())
     page = "<article><h1>A</h1><p><a href=x>one<p><b>two<br><i>three<p>four words are here<div class='share-buttons'><p>Share</div>five</article><p>after"
