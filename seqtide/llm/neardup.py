@@ -5,7 +5,8 @@ into CHUNKS of WIDE lanes; two signatures that differ in at most 2 * CHUNKS - 1
 by the pigeonhole principle, a chunk with at most one differing lane, so each chunk is indexed
 once for each lane left out, and every pair under that distance meets in a bucket.  (A pair of
 similarity s meets with probability 1 - (1 - s**6 - 6 s**5 (1 - s))**10, which misses fewer than
-one in a million at 0.85.)
+one in a million at 0.85.)  Below 0.80 the chunks are narrower and more, and more lanes may
+differ, so that a pair at the similarity asked for is missed with probability below 5e-5.
 
 Equal sets become one class first.  A bucket gives one edge from each member to its smallest,
 never its pairs; the components of these edges are the groups within which links can lie.  A
@@ -17,6 +18,7 @@ and returns only the links that join.  Their components are the result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,10 @@ from .components import connected_components
 SHINGLE = 5
 CHUNKS, WIDE = 10, 6
 LANES = CHUNKS * WIDE
-#: Lanes that may differ between two documents that are compared on their sets: over 5 standard deviations above the mean at 0.85.
+#: Lanes that may differ between two documents that are compared on their sets, at least: over 5 standard deviations above the mean at 0.85.
 FAR = 26
+#: Share of pairs at the similarity asked for that the buckets may miss, and that the lanes may.
+MISS_BUCKETS, MISS_LANES = 3e-5, 2e-5
 BLOCK_LEAST, BLOCK_MOST, BLOCK_SHINGLES = 64, 1024, 2_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.Generator(np.random.PCG64(20250101))
@@ -76,17 +80,31 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(fn, "doc_id long, n_shingles long, digest1 long, digest2 long, sig binary")
 
 
-def keys(sig: Column) -> Column:
+def width(percent: int) -> int:
+    """Lanes of a chunk: the most, up to WIDE, at which buckets miss few enough pairs of the similarity."""
+    s = percent / 100
+    return next(w for w in range(WIDE, 0, -1) if LANES % w == 0 and (1 - s**w - w * s ** (w - 1) * (1 - s)) ** (LANES // w) < MISS_BUCKETS)
+
+
+def far(percent: int) -> int:
+    """Lanes that may differ: FAR, or more where more of the pairs of the similarity differ in more."""
+    s = percent / 100
+    return next(k for k in range(FAR, LANES + 1) if sum(comb(LANES, i) * (1 - s) ** i * s ** (LANES - i) for i in range(k + 1, LANES + 1)) < MISS_LANES)
+
+
+def keys(sig: Column, wide: int = WIDE) -> Column:
     """The buckets of a signature: each chunk with each one of its lanes left out."""
     out = []
-    for c in range(CHUNKS):
-        for j in range(WIDE):
-            at = 2 * WIDE * c + 1
-            out.append(F.xxhash64(F.lit(c * WIDE + j), F.substring(sig, at, 2 * j), F.substring(sig, at + 2 * j + 2, 2 * (WIDE - 1 - j))))
+    for c in range(LANES // wide):
+        for j in range(wide):
+            at = 2 * wide * c + 1
+            out.append(F.xxhash64(F.lit(c * wide + j), F.substring(sig, at, 2 * j), F.substring(sig, at + 2 * j + 2, 2 * (wide - 1 - j))))
     return F.array(*out)
 
 
 def _links(percent: int):
+    most = far(percent)
+
     """Links of each cell that join: rows come sorted by cell, with the block of each document."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +123,7 @@ def _links(percent: int):
                 if not one_block:
                     ok &= block[rest] != block[i]
                 for k in np.flatnonzero(ok) + i + 1:
-                    if root[k] == root[i] or (sig[k] != sig[i]).sum() > FAR:
+                    if root[k] == root[i] or (sig[k] != sig[i]).sum() > most:
                         continue
                     both = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
                     if 100 * both >= percent * (size[i] + size[k] - both):
@@ -148,7 +166,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     all_ = written(signatures(base))
     linkable = all_.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = written(linkable.groupBy("digest1", "digest2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
-    buckets = classes.select("rep", F.explode(keys(F.col("sig"))).alias("key"))
+    buckets = classes.select("rep", F.explode(keys(F.col("sig"), width(percent))).alias("key"))
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("hub")).filter("c > 1").select("key", "hub")
     edges = buckets.join(shared, "key").filter("rep <> hub").select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct()
     groups = written(connected_components(edges))

@@ -130,6 +130,20 @@ def test_signatures_within_the_distance_share_a_key():
         assert of(lanes) & of(near)
 
 
+def test_lower_similarities_find_their_pairs(spark):
+    """Pairs that share 96 of 180 shingles (0.53) are linked at 50 percent, and none at 85."""
+    assert [neardup.width(p) for p in (100, 85, 80, 75, 70, 50)] == [6, 6, 6, 5, 4, 3]
+    assert [neardup.far(p) for p in (85, 80)] == [26, 26] and neardup.far(50) > 40
+    rows = []
+    for k in range(60):
+        words = [f"w{k}x{i}" for i in range(142)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:100] + [f"z{k}x{i}" for i in range(42)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in neardup.components(docs, percent=50).collect()}
+    assert got == {i: i - i % 2 for i in range(120)}
+    assert all(r["kept"] for r in neardup.components(docs, percent=85).collect())
+
+
 def test_connected_components(spark):
     edges = spark.createDataFrame([(1, 2), (3, 2), (3, 4), (10, 11), (12, 11), (5, 5), (None, 7), (4, 3)], "u long, v long")
     assert dict(map(tuple, connected_components(edges).collect())) == {1: 1, 2: 1, 3: 1, 4: 1, 10: 10, 11: 10, 12: 10}
