@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..sources.tables import checkpointed, forget, written
 from . import stats
+from .extend import co_partitioned, extensions
 
 
 def trie(patterns: DataFrame) -> DataFrame:
@@ -25,23 +27,33 @@ def _pattern(node: str):
 
 
 def trie_match(db: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(pattern, sid, u): the best utility of each pattern in each sequence that holds it."""
-    edges = trie(patterns).persist()
-    depth = edges.agg(F.max("depth")).first()[0] or 0
-    occ = db.select("sid", "ev", "pos", "item", "util")
-    at, out = None, None
+    """(pattern, sid, u): the best utility of each pattern in each sequence that holds it, as a written table."""
+    with co_partitioned(db.sparkSession):
+        return _trie_match(db, patterns)
+
+
+def _trie_match(db: DataFrame, patterns: DataFrame) -> DataFrame:
+    edges = written(trie(patterns))
+    depth = edges.agg(F.max("depth")).first()[0]
+    if depth is None:
+        return db.sparkSession.createDataFrame([], "pattern string, sid long, u long")
+    occ = db.select("sid", "ev", "pos", "item", "util").repartition(int(db.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sid").persist()
+    out, levels = None, []
     for level in range(1, depth + 1):
         own = edges.filter(F.col("depth") == level).select("parent", "ext", "item", "node", "terminal")
-        if at is None:
-            rows = occ.join(own.drop("parent", "ext"), "item").select("sid", "ev", "pos", "node", "terminal", F.col("util").alias("acc"))
+        if not levels:
+            rows = occ.join(own.drop("parent", "ext"), "item").withColumnRenamed("util", "acc")
         else:
-            a = at.select("sid", F.col("ev").alias("ev_a"), F.col("pos").alias("pos_a"), F.col("node").alias("parent"), "acc")
-            later = a.join(occ, "sid").filter("pos > pos_a").withColumn("ext", F.when(F.col("ev") == F.col("ev_a"), 0).otherwise(1))
-            rows = later.join(own, ["parent", "ext", "item"]).select("sid", "ev", "pos", "node", "terminal", (F.col("acc") + F.col("util")).alias("acc"))
-        at = rows.groupBy("sid", "ev", "pos", "node", "terminal").agg(F.max("acc").alias("acc"))
-        done = at.filter("terminal").groupBy(_pattern("node").alias("pattern"), "sid").agg(F.max("acc").alias("u"))
+            ends = levels[-1].select("sid", F.col("node").alias("pid"), F.col("item").alias("last"), "ev", "pos", "acc")
+            rows = extensions(ends, occ, ["sid"]).withColumnRenamed("pid", "parent").join(own, ["parent", "ext", "item"])
+        rows = rows.select("sid", "ev", "pos", "item", "node", "terminal", "acc")
+        levels.append(checkpointed(rows) if level < depth else rows)
+        done = levels[-1].filter("terminal").groupBy(_pattern("node").alias("pattern"), "sid").agg(F.max("acc").alias("u"))
         out = done if out is None else out.unionByName(done)
-    return out if out is not None else db.sparkSession.createDataFrame([], "pattern string, sid long, u long")
+    out = written(out)
+    occ.unpersist()
+    forget(edges, *levels)
+    return out
 
 
 def candidate_sequences(db: DataFrame, patterns: DataFrame) -> DataFrame:

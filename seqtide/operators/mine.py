@@ -1,28 +1,27 @@
 """Level-wise mining of high-utility sequential patterns as DataFrame algebra.
 
 The state of a level is the table of non-dominated ends (pattern, sequence, position, best
-utility).  One join on the sequence extends every end by every later occurrence; a maximum
-per (pattern, end) drops dominated ends; sums over sequences give utility, bounds and gaps;
-what survives goes to the next level.  Everything is hash-partitioned by a slice of the
+utility).  Every later occurrence extends a pattern by the best of its ends before it, found
+as a running maximum; sums over sequences give utility, bounds and gaps; what survives goes
+to the next level.  Everything is hash-partitioned by a slice of the
 sequence ids once, and every join, maximum and gap has the slice among its keys, so a level
-shuffles only its per-slice summaries.
+shuffles only its per-slice summaries.  The ends that go on are checkpointed level by level:
+a lost executor costs one level, and plans stay small however long patterns get.
 """
 
 from __future__ import annotations
 
-from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..sources.tables import written
+from ..sources.tables import checkpointed, forget, written
 from . import stats
+from .extend import co_partitioned, extensions
 
 NO_LIMIT = (1 << 31) - 1
-#: Levels after which the ends are written to the shared folder, so that a lost executor costs at most these.
-CUT_EVERY = 3
 
 
 @dataclass(frozen=True)
@@ -44,18 +43,6 @@ class Options:
     max_len: int = NO_LIMIT
 
 
-@contextmanager
-def co_partitioned(spark: SparkSession):
-    """Joins and aggregates may keep a partitioning by a subset of their keys."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def empty_result(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "pattern string, pat array<array<int>>, utility long, periodicity long, first_sid long, last_sid long, max_inner long, support long")
 
@@ -66,29 +53,30 @@ def _within(bound: int, n: int, mode: str, floor: bool) -> Column:
     return ok & (trail <= bound) if floor else ok
 
 
-def _level(joined: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Ends and their summary, from every (pid, ext, item, slice, sid, ev, pos, acc, rem, seq_util)."""
-    ends = joined.groupBy("slice", "sid", "pid", "ext", "item", "pos", "ev").agg(F.max("acc").alias("acc"), F.first("rem").alias("rem"), F.first("seq_util").alias("seq_util")).persist()
+def _summary(ends: DataFrame) -> DataFrame:
+    """Utility, bounds and gaps of the patterns of ends(pid, ext, item, slice, sid, ev, pos, acc, rem, seq_util)."""
     per = ends.groupBy("slice", "sid", "pid", "ext", "item").agg(F.max("acc").alias("utility"), F.max(F.col("acc") + F.col("rem")).alias("peu"), F.first("seq_util").alias("swu"))
-    return ends, stats.gaps(per, ["pid", "ext", "item"], ["utility", "peu", "swu"])
+    return stats.gaps(per, ["pid", "ext", "item"], ["utility", "peu", "swu"])
 
 
-def mine(db: DataFrame, min_util: int, bound: int | None, n: int, options: Options = Options()) -> DataFrame:
+def mine(db: DataFrame, min_util: int, bound: int | None, n: int, options: Options = Options(), counters: list[dict] | None = None) -> DataFrame:
     """Patterns of db whose utility reaches min_util and, if bound is given, whose gaps stay within it.
 
     Columns: pattern, pat, utility, periodicity (longest gap, leading and trailing included),
     first_sid, last_sid, max_inner (leading and inner gaps), support.  n is the number of
     sequences that the trailing gap runs to.  An empty database gives an empty result.
+    counters gets, for each level, the patterns met, those cut by the bound and by their gaps,
+    and those explored.
     """
     if min_util < 1:
         raise ValueError("min_util must be positive")
     if options.max_len < 1:
         return empty_result(db.sparkSession)
     with co_partitioned(db.sparkSession):
-        return _mine(db, min_util, bound, n, options)
+        return _mine(db, min_util, bound, n, options, counters)
 
 
-def _mine(db: DataFrame, min_util: int, bound: int | None, n: int, options: Options) -> DataFrame:
+def _mine(db: DataFrame, min_util: int, bound: int | None, n: int, options: Options, counters: list[dict] | None) -> DataFrame:
     spark = db.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     span = db.agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).first()
@@ -111,11 +99,13 @@ def _mine(db: DataFrame, min_util: int, bound: int | None, n: int, options: Opti
 
     gaps_ok = F.lit(True) if bound is None else _within(bound, n, options.mode, options.floor)
     upper = F.col("swu" if options.bound == "none" else "peu")
-    held, found, level, parents = [occ], [], 1, None
+    held, found, level, parents, cut_off = [occ], [], 1, None, None
     joined = occ.select("slice", "sid", F.lit(-1).cast("long").alias("pid"), F.lit(1).alias("ext"), "item", "pos", "ev", F.col("util").alias("acc"), "rem", "seq_util")
     while True:
-        ends, summary = _level(joined)
-        kept = summary.filter(upper >= min_util).withColumn("regular", gaps_ok)
+        ends, seen = joined.persist(), Observation()
+        bounded = upper >= min_util
+        summary = _summary(ends).withColumn("regular", gaps_ok).observe(seen, F.count(F.lit(1)).alias("candidates"), F.count_if(bounded).alias("bounded"), F.count_if(bounded & F.col("regular")).alias("regular"))
+        kept = summary.filter(bounded)
         if cut is not None:
             kept = kept.filter("regular")
         if parents is None:
@@ -126,23 +116,27 @@ def _mine(db: DataFrame, min_util: int, bound: int | None, n: int, options: Opti
         kept = kept.withColumn("pat", pat).withColumn("id", F.monotonically_increasing_id())
         kept = written(kept.select("id", "pid", "ext", "item", "pat", "utility", "regular", "first_sid", "last_sid", "intra", "support"))
         found.append(kept)
+        explored = seen.get["bounded" if cut is None else "regular"]
+        if counters is not None:
+            counters.append({"level": level, "candidates": seen.get["candidates"], "pruned_by_bound": seen.get["candidates"] - seen.get["bounded"], "pruned_by_gap": seen.get["bounded"] - explored, "explored": explored})
         for x in held[1:]:
             x.unpersist()
         held = [occ, ends]
-        if level >= options.max_len or kept.isEmpty():
+        if level >= options.max_len or not explored:
             break
-        vul = ends.join(kept.select("pid", "ext", "item", "id"), ["pid", "ext", "item"]).select("slice", "sid", F.col("id").alias("pid"), F.col("item").alias("last"), F.col("ev").alias("ev_a"), F.col("pos").alias("pos_a"), "acc")
-        if level % CUT_EVERY == 0:
-            vul = written(vul).repartition(parts, "slice")
-        b = occ.select("slice", "sid", "ev", "pos", "item", "util", "rem", "seq_util")
-        joined = vul.join(b, ["slice", "sid"]).filter("pos > pos_a AND (ev > ev_a OR item > last)").withColumn("ext", F.when(F.col("ev") == F.col("ev_a"), 0).otherwise(1))
+        vul = ends.join(kept.select("pid", "ext", "item", "id"), ["pid", "ext", "item"]).select("slice", "sid", F.col("id").alias("pid"), F.col("item").alias("last"), "ev", "pos", "acc")
+        forget(cut_off)
+        vul = cut_off = checkpointed(vul)
+        joined = extensions(vul, occ, ["slice", "sid"])
         if pairs is not None:
-            joined = joined.join(pairs, ["last", "ext", "item"], "left_semi")
-        joined = joined.select("slice", "sid", "pid", "ext", "item", "pos", "ev", (F.col("acc") + F.col("util")).alias("acc"), "rem", "seq_util")
+            allowed = kept.select(F.col("id").alias("pid"), F.col("item").alias("last")).join(pairs, "last").select("pid", "ext", "item")
+            joined = joined.join(allowed, ["pid", "ext", "item"], "left_semi")
+        joined = joined.select("slice", "sid", "pid", "ext", "item", "pos", "ev", "acc", "rem", "seq_util")
         parents = kept.select(F.col("id").alias("pid"), F.col("pat").alias("parent"))
         level += 1
     for x in held:
         x.unpersist()
+    forget(cut_off, pairs)
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .extend import extensions
+
 #: Sequences in one slice: gaps are found slice by slice, then between slices.
 SLICE = 4096
 
@@ -120,11 +122,9 @@ def tsu_pairs(db: DataFrame) -> DataFrame:
     In a sequence where the first item's first occurrence is also its best, the bound is the
     pattern's first instance with what remains after it; elsewhere it is the first item's peu.
     """
-    a = db.select("sid", F.col("item").alias("x"), F.col("ev").alias("ev_a"), F.col("pos").alias("pos_a"), F.col("util").alias("u_a"))
+    a = db.select("sid", F.col("item").alias("pid"), F.col("item").alias("last"), "ev", "pos", F.col("util").alias("acc"))
     first = db.groupBy("sid", F.col("item").alias("x")).agg(F.max("util").alias("best"), F.min_by("util", "pos").alias("u_first"), F.max(F.col("util") + F.col("rem")).alias("peu"))
-    b = db.select("sid", "item", "ev", "pos", "util", "rem")
-    both = a.join(b, "sid").filter("pos > pos_a").withColumn("ext", F.when(F.col("ev") == F.col("ev_a"), 0).otherwise(1))
-    ends = both.groupBy("sid", "x", "ext", "item", "pos").agg(F.max("u_a").alias("pref"), F.first("util").alias("util"), F.first("rem").alias("rem"))
-    found = ends.groupBy("sid", "x", "ext", "item").agg(F.min_by(F.col("pref") + F.col("util") + F.col("rem"), "pos").alias("t"))
+    ends = extensions(a, db.select("sid", "item", "ev", "pos", "util", "rem"), ["sid"]).withColumnRenamed("pid", "x")
+    found = ends.groupBy("sid", "x", "ext", "item").agg(F.min_by(F.col("acc") + F.col("rem"), "pos").alias("t"))
     bound = F.when(F.col("best") == F.col("u_first"), F.col("t")).otherwise(F.col("peu"))
     return found.join(first, ["sid", "x"]).groupBy(F.col("x").alias("item"), "ext", F.col("item").alias("next")).agg(F.sum(bound).alias("tsu"))
