@@ -15,7 +15,7 @@ from ..sources.tables import shared_dir, written
 
 __all__ = ["LONG", "Memo", "Powers", "WordHash", "crc_mod", "documents", "held", "i64", "mix", "release", "shared_dir", "small_batches", "texts", "word_hashes", "written"]
 
-ARROW_ROWS = 500
+ARROW_ROWS, ARROW_BYTES = 500, 4 << 20
 HASH_CACHE = 100_000
 #: Longer words are not remembered, so that what a worker or a broadcast holds is bounded in bytes.
 LONG = 64
@@ -27,8 +27,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most ARROW_ROWS texts, so that a Python worker's memory is bounded by long texts, not by their number."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Arrow batches of at most ARROW_ROWS rows and about ARROW_BYTES bytes, so that neither many nor long texts fill a worker.
+
+    Spark reads the settings when it plans, after the operator has returned, so they stay in the session; smaller ones are left.
+    """
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(f"spark.sql.execution.arrow.{name}"))
+        if not 0 < now <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 _HELD: list = [None, None]

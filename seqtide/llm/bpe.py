@@ -119,8 +119,11 @@ def decode(ids: bytes, tokens: list[bytes]) -> bytes:
 
 
 def encode_table(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path: str | None = None) -> DataFrame:
-    """docs with a column of token ids (array<int>); a null text counts as empty. All other columns stay."""
+    """docs with a column of token ids (array<int>); a null text counts as empty. Other columns stay, one of the new name is replaced."""
     small_batches(docs.sparkSession)
+    if ids_col == text_col:
+        raise ValueError("the ids need a column of their own")
+    docs = docs.drop(ids_col)
     given = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
 
     names = [*docs.columns, ids_col]
@@ -135,7 +138,11 @@ def encode_table(docs: DataFrame, text_col: str = "text", ids_col: str = "ids",
 
 
 def decode_table(df: DataFrame, ids_col: str = "ids", bytes_col: str = "bytes", path: str | None = None) -> DataFrame:
-    """df with the bytes that the ids stand for; null ids give null. An id outside the vocabulary is an error."""
+    """df with the bytes that the ids stand for, in place of a column of that name; null ids give null. An id outside the vocabulary is an error."""
+    if ids_col == bytes_col:
+        raise ValueError("the bytes need a column of their own")
+    small_batches(df.sparkSession)
+    df = df.drop(bytes_col)
     given = df.sparkSession.sparkContext.broadcast(load_ranks(path))
     names = [*df.columns, bytes_col]
 

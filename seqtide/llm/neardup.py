@@ -103,9 +103,8 @@ def keys(sig: Column, wide: int = WIDE) -> Column:
 
 
 def _links(percent: int):
-    most = far(percent)
-
     """Links of each cell that join: rows come sorted by cell, with the block of each document."""
+    most = far(percent)
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -195,8 +194,14 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
-    """The rows of docs whose document stands for its component, one row for each id; rows with a null id stay."""
-    stay = components(docs, id_col, text_col, percent).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__keep")).distinct()
-    known = docs.filter(F.col(id_col).isNotNull()).join(stay, F.col(id_col).cast("long") == F.col("__keep"), "left_semi").dropDuplicates([id_col])
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    """The rows of docs whose document stands for its component; rows with a null id stay.
+
+    Of rows with one id and one text one stays; different texts under one id stay all, or go all.
+    """
+    found = written(components(docs, id_col, text_col, percent).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")))
+    stay = found.filter("kept").select(F.col("doc_id").alias("__keep"))
+    known = docs.filter(F.col(id_col).isNotNull()).join(stay, F.col(id_col).cast("long") == F.col("__keep"), "left_semi")
+    if not found.filter("n > 1").isEmpty():
+        known = known.dropDuplicates([id_col, text_col])
     return known.unionByName(docs.filter(F.col(id_col).isNull()))

@@ -29,18 +29,22 @@ END = b"\0\0\0\0"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>, part int, nth long"
 
 
-def vocabulary_ranks(vocabulary: str) -> dict[bytes, int]:
-    """Token bytes -> id of a byte-level vocabulary file of the tokenizers library; ids are in the order of its merges."""
+def vocabulary_ranks(vocabulary: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """Token bytes -> id of a byte-level vocabulary file of the tokenizers library, ids in the order of its merges, and its added tokens."""
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
     byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
     data = json.loads(vocabulary)
-    special = {x["content"] for x in data["added_tokens"]}
-    return {bytes(byte[c] for c in token): i for token, i in data["model"]["vocab"].items() if token not in special}
+    added = {x["content"]: x["id"] for x in data["added_tokens"]}
+    return {bytes(byte[c] for c in token): i for token, i in data["model"]["vocab"].items() if token not in added}, added
 
 
 def held_encoding(vocabulary: str) -> tiktoken.Encoding:
     """The worker's encoder for that vocabulary: the ids that the tokenizers library gives, made several times faster."""
-    make = lambda: tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary_ranks(vocabulary), special_tokens={})
+
+    def make() -> tiktoken.Encoding:
+        ranks, added = vocabulary_ranks(vocabulary)
+        return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+
     return held(("packing", zlib.crc32(vocabulary.encode())), make)
 
 
@@ -53,7 +57,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", longes
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if asked for.
 
     A document is its ids by the byte-level vocabulary, then id 0; a null or empty text is that
-    id alone.  Null or repeated ids of documents are packed row by row like others; an empty
+    id alone.  As in the tokenizers library, an added token's string in a text is that token.  Null or repeated ids of documents are packed row by row like others; an empty
     table gives an empty result.  sequence_id counts from 0 without gaps, longest pieces first.
     """
     if longest < 2 or longest & (longest - 1):
@@ -68,7 +72,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", longes
         for batch in batches:
             doc, start, length, crc, total, held, nth = [], [], [], [], [], [], []
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids, at = encode(text or "", disallowed_special=()).astype("<u4").tobytes() + END, 0
+                ids, at = encode(text or "", allowed_special="all").astype("<u4").tobytes() + END, 0
                 n = len(ids) // 4
                 view = memoryview(ids)
                 for k in cuts(n, longest):

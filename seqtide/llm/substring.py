@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.sequences import ordered_ids
 from ._common import Powers, WordHash, i64, mix, release, small_batches, texts, word_hashes, written
 
 GRAM = 5
@@ -149,8 +150,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Word spans (doc_id, spans array<struct<s,e>>) covered by windows of min_words words that also start earlier.
 
     Earlier: in a document of a smaller id, or in the same one before.  Null texts, null ids
-    and texts shorter than a window give no span; rows that share an id and a text are one
-    document.  An empty table gives an empty result.
+    and texts shorter than a window give no span; rows that share an id must share their text
+    (see _with_spans).  An empty table gives an empty result.
     """
     if min_words < GRAM + 1:
         raise ValueError(f"min_words must be over {GRAM}")
@@ -183,9 +184,21 @@ def covered(n: int, spans: list[dict] | None) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with __id: the id, or where ids have several texts a number in the order of id and the text's hash, for each of them."""
+    keyed = docs.withColumn("__id", F.col(id_col).cast("long"))
+    names = keyed.filter(F.col("__id").isNotNull()).select("__id", F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("__hash"))
+    if names.groupBy("__id").agg(F.min("__hash").alias("a"), F.max("__hash").alias("b")).filter("a <> b").isEmpty():
+        return keyed
+    order = ordered_ids(names.distinct(), "__id", "__hash").withColumnRenamed("sid", "__nth")
+    return keyed.withColumn("__hash", F.xxhash64(F.coalesce(text_col, F.lit("")))).join(order, ["__id", "__hash"], "left").drop("__id", "__hash").withColumnRenamed("__nth", "__id")
+
+
 def _with_spans(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    spans = repeated_spans(docs, id_col, text_col, min_words).select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
-    return docs.join(spans, docs[id_col].cast("long") == spans["__id"], "left").drop("__id")
+    """docs with __spans. Rows with one id and one text are one document; different texts under one id are several, in the order of their hashes."""
+    docs = _numbered(docs, id_col, text_col)
+    spans = repeated_spans(docs, "__id", text_col, min_words).select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
+    return docs.join(spans, "__id", "left").drop("__id")
 
 
 def removal_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20) -> DataFrame:

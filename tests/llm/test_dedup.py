@@ -45,6 +45,15 @@ def test_substring_repeated_rows_and_empty_table(crowded, rows, none):
     assert substring.removal_digest(none).collect() == []
 
 
+def test_substring_texts_that_share_an_id(spark):
+    """Different texts under one id are documents of their own: no passage leaves the corpus."""
+    passage, other = " ".join(f"p{i}" for i in range(30)), " ".join(f"q{i}" for i in range(30))
+    rows = [(1, "one"), (2, passage), (2, other), (3, passage + " end"), (3, passage + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted((r["doc_id"], r["text"]) for r in substring.remove_repeats(docs).collect())
+    assert out == [(1, "one"), (2, passage), (2, other), (3, "end"), (3, "end")]
+
+
 def test_remove_repeats_keeps_columns_and_clean_texts(crowded, rows):
     out = substring.remove_repeats(crowded)
     assert out.columns == crowded.columns
@@ -104,12 +113,19 @@ def test_large_groups_are_compared_in_cells(spark, monkeypatch):
 
 
 def test_keep_one(crowded, rows):
-    out = neardup.keep_one(crowded)
+    out = neardup.keep_one(crowded, percent=85)
     assert out.columns == crowded.columns
     want = brute_components(rows)
     assert sorted(r["doc_id"] for r in out.collect() if r["doc_id"] is not None) == sorted(i for i, v in want.items() if v[2])
 
 
+def test_keep_one_of_texts_that_share_an_id(spark):
+    texts = [" ".join(f"{k}w{i}" for i in range(30)) for k in range(3)]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (2, texts[2]), (3, texts[2])]
+    out = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, out.collect())) == sorted([(1, texts[0]), (1, texts[1]), (2, texts[2])])
+
+
 def test_signatures_within_the_distance_share_a_key():
     import random
 

@@ -35,9 +35,8 @@ def test_pipeline_matches_plain_stages(spark, rows, tmp_path):
         spans = [{"s": p, "e": p + 20} for p in range(len(w) - 19) if first[tuple(w[p : p + 20])] < (doc, p)]
         three.append((doc, substring.cut(text.encode(), spans).decode() if spans else text))
     assert any(brute_substring(two)[d][1] for d, _ in three)
-    hide = pii.Pseudonyms()
+    hide = pii.Pseudonyms(pii.session_key(spark))
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     want = {doc: [*tokenizer.encode(hide.replace(text)[0], add_special_tokens=False).ids, 0] for doc, text in three}
     assert {r["doc_id"] for r in out} == set(want)
     for r in out:
