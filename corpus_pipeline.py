@@ -7,8 +7,6 @@ is packed.  All but the last stage return the columns of documents.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +15,6 @@ from seqtide.llm._common import crc_mod, written
 
 #: Percent of shared shingles from which documents are near copies; op9's contract has its own.
 NEAR_PERCENT = 80
-#: Bits a byte over which a text counts as foreign: none, as short, upper-case and value-rich texts of learned languages take up to 6.7.
-FOREIGN_BITS = math.inf
 
 
 def _like(docs: DataFrame, out: DataFrame) -> DataFrame:
@@ -31,7 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; those without text or letters go."""
     trees = langid.fit(docs.filter(crc_mod(F.col("doc_id"), langid.FOLDS) != 0))
     found = langid.predict(docs, trees)
-    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("bits_per_byte") <= FOREIGN_BITS)).select(*docs.columns)
+    return found.filter(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +42,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def private_values(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with private values replaced by pseudonyms."""
-    return _like(docs, pii.pseudonymise(docs))
+    return _like(docs, pii.pseudonymise(docs, pii.session_key(spark)))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
