@@ -22,7 +22,7 @@ def test_pipeline_matches_plain_stages(spark, rows, tmp_path):
             words.setdefault(lang, langid.Counter()).update(text.encode().split())
     scorer = langid.Scorer({k: langid.grow(v) for k, v in sorted(words.items())})
     found = [(r, scorer.best(None if r[1] is None else r[1].encode())) for r in own]
-    one = [r for r, (lang, _, rate) in found if lang != "und" and rate <= corpus_pipeline.FOREIGN_BITS]
+    one = [r for r, (lang, _, _) in found if lang != "und"]
     stay = brute_components(one)
     two = [r for r in one if stay[r[0]][2]]
     first, three = {}, []
