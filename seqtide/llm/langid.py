@@ -1,20 +1,21 @@
 """Language identification by prediction by partial matching over byte context trees.
 
 For each language a tree holds, for every context of up to ORDER bytes, the counts of the
-bytes that followed.  A byte's code length is that of its longest known context; where the
-byte did not follow there, an escape (distinct successors over total plus distinct) passes to
-the next shorter context with the seen bytes excluded, down to all 256 bytes.  Contexts begin
-at the space before a word, so a text's code length is the exact sum over its words and each
-distinct word is coded once per worker.  Statistics are frozen after fitting.
+bytes that followed; white space is coded like any other byte and contexts run across words.
+A byte's code length is that of its longest known context; where the byte did not follow
+there, an escape (distinct successors over total plus distinct) passes to the next shorter
+context with the seen bytes excluded, down to all 256 bytes.  Statistics are frozen after
+fitting, so a byte's length depends on the ORDER bytes before it alone: the exact code length
+of a text is a sum over its windows of ORDER + 1 bytes.
+
+A window is one number: the number of context bytes, those bytes with the nearest first, and
+the byte coded.  All counts and lengths are found for whole arrays of windows.
 """
 
 from __future__ import annotations
 
-import math
 import re
-import struct
 import uuid
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,174 +24,216 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import LONG, crc_mod, held, release, small_batches, texts
+from ._common import crc_mod, held, i64, mix, release, small_batches, texts
 
 ORDER = 4
 #: Labelled rows to fit on for each language, in expectation; the sample is by hash of the id.
 SAMPLE = 600
+#: Labels that are learned at most; a column with more is refused, as trees and tables grow with them.
+LANGUAGES = 64
 FOLDS = 5
-CACHE_WORDS = 300_000
-CACHE_GRAMS = 300_000
-#: Words of a text coded in one step (at most STEP_WORDS * LONG bytes), and the longest word that uses the gram table.
-STEP_WORDS, STEP_BYTES = 2048, 200_000
+#: Windows coded in one step, and cells of the table that remembers them.
+STEP, CELLS = 1 << 17, 1 << 22
 UNKNOWN = "und"
 _LETTER = re.compile(rb"[A-Za-z]")
 
-#: Context -> the bytes that followed it, then their counts, packed.
-Tree = dict[bytes, bytes]
-
 
 def has_letter(text: bytes | None) -> bool:
     return text is not None and (bool(_LETTER.search(text)) or any(map(str.isalpha, text.decode("utf-8", "replace"))))
 
 
-def follow(words: Counter[bytes], order: int = ORDER) -> dict[bytes, dict[int, int]]:
-    """Counts of the bytes that follow each context in the words."""
-    out: dict[bytes, dict[int, int]] = defaultdict(lambda: defaultdict(int))
-    for word, n in words.items():
-        s = b" " + word + b" "
-        for i in range(1, len(s)):
-            for k in range(max(0, i - order), i + 1):
-                out[s[k:i]][s[i]] += n
-    return out
-
-
-def pack(counts: dict[int, int]) -> bytes:
-    return bytes(counts) + struct.pack(f"<{len(counts)}Q", *counts.values())
-
-
-def unpack(node: bytes) -> dict[int, int]:
-    n = len(node) // 9
-    return dict(zip(node[:n], struct.unpack_from(f"<{n}Q", node, n), strict=True))
-
-
-def grow(words: Counter[bytes], order: int = ORDER) -> Tree:
-    return {context: pack(counts) for context, counts in follow(words, order).items()}
-
+def joined(own: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, and the place in its text of each."""
+    size = np.array([len(t) for t in own], np.int64)
+    return np.frombuffer(b"".join(own), np.uint8), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+
+
+def contexts(data: np.ndarray, place: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """Number of context bytes (at most ORDER) of data[first:last], and these bytes, the nearest in the highest place."""
+    have = np.minimum(place[first:last], ORDER)
+    packed = np.zeros(last - first, np.uint64)
+    for j in range(1, min(ORDER, last - 1) + 1):
+        before = np.zeros(last - first, np.uint64)
+        at = max(first, j)
+        before[at - first :] = data[at - j : last - j]
+        packed |= np.where(have >= j, before, np.uint64(0)) << np.uint64(8 * (ORDER - j))
+    return have, packed
+
+
+def key(order: int, packed: np.ndarray) -> np.ndarray:
+    """The context of the nearest `order` bytes as one number."""
+    return np.uint64(order << 8 * ORDER) | packed >> np.uint64(8 * (ORDER - order))
+
+
+def counts(own: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of all orders in the texts, sorted, and how often each stands there."""
+    data, place = joined(own)
+    found = []
+    for at in range(0, len(data), STEP):
+        end = min(len(data), at + STEP)
+        have, packed = contexts(data, place, at, end)
+        for k in range(ORDER + 1):
+            ok = have >= k
+            found.append(np.unique(key(k, packed[ok]) << np.uint64(8) | data[at:end][ok], return_counts=True))
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    names, inverse = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
+    n = np.zeros(len(names), np.int64)
+    np.add.at(n, inverse, np.concatenate([x for _, x in found]))
+    return names, n
+
+
+def _find(table: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Place of each wanted number in a sorted table, -1 where it is missing."""
+    if not len(table):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
+    return np.where(table[at] == wanted, at, -1)
+
+
+class Tree:
+    """Frozen statistics of one language.
+
+    A context's successors are among those of its suffix, so what exclusion leaves at the
+    suffix depends on the two nodes alone, and so does the cost of each escape on the way down.
+    """
 
-def code_length(tree: Tree, context: bytes, byte: int) -> float:
-    """Bits for the byte after the context."""
-    bits, seen = 0.0, set()
-    while True:
-        left = {b: n for b, n in unpack(tree.get(context, b"")).items() if b not in seen}
-        if left:
-            total = sum(left.values()) + len(left)
-            if byte in left:
-                return bits - math.log2(left[byte] / total)
-            bits -= math.log2(len(left) / total)
-            seen |= left.keys()
-        if not context:
-            return bits + math.log2(256 - len(seen))
-        context = context[1:]
+    def __init__(self, windows: np.ndarray, n: np.ndarray) -> None:
+        self.windows, self.n = windows, n.astype(np.float32)
+        context = windows >> np.uint64(8)
+        self.nodes, first = np.unique(context, return_index=True)
+        self.distinct = 256 - (int(np.searchsorted(context, np.uint64(1))) if len(context) else 0)
+        if not len(windows):
+            return
+        kinds, total = np.diff(np.append(first, len(windows))), np.add.reduceat(n, first)
+        order = (self.nodes >> np.uint64(8 * ORDER)).astype(np.int64)
+        bits = self.nodes & np.uint64((1 << 8 * ORDER) - 1)
+        suffix = np.where(order > 0, np.where(order > 0, order - 1, 0).astype(np.uint64) << np.uint64(8 * ORDER) | bits >> np.uint64(8), 0).astype(np.uint64)
+        below = _find(self.nodes, suffix)
+        # Of the suffix, what is left once this node's successors are excluded.
+        same = _find(windows, np.repeat(suffix, kinds) << np.uint64(8) | windows & np.uint64(255))
+        left = total[below] - np.add.reduceat(n[same], first)
+        kinds_left = kinds[below] - kinds
+        self.weight = (left + kinds_left).astype(np.float32)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            escape = np.where((kinds_left > 0) & (order > 0), np.log2((left + kinds_left) / np.maximum(kinds_left, 1)), 0.0)
+        path = np.zeros(len(order))
+        for k in range(1, ORDER + 1):
+            own = order == k
+            path[own] = escape[own] + path[below[own]]
+        self.own, self.escape, self.path = (total + kinds).astype(np.float32), np.log2((total + kinds) / kinds).astype(np.float32), path.astype(np.float32)
+
+    def bits(self, have: np.ndarray, packed: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """Code length of each byte after its context."""
+        if not len(self.windows):
+            return np.full(len(byte), 8.0)
+        out, open_ = np.full(len(byte), np.nan), np.ones(len(byte), bool)
+        top, above = np.full(len(byte), -1), np.full(len(byte), -1)
+        for k in range(ORDER, -1, -1):
+            at = np.flatnonzero(open_ & (have >= k))
+            context = key(k, packed[at])
+            node = _find(self.nodes, context)
+            known = node >= 0
+            at, node, context = at[known], node[known], context[known]
+            pair = _find(self.windows, context << np.uint64(8) | byte[at])
+            hit, first = pair >= 0, top[at] < 0
+            direct, down = hit & first, hit & ~first
+            out[at[direct]] = np.log2(self.own[node[direct]] / self.n[pair[direct]])
+            up, start = above[at[down]], top[at[down]]
+            out[at[down]] = self.escape[start] + self.path[start] - self.path[up] + np.log2(self.weight[up] / self.n[pair[down]])
+            open_[at[hit]] = False
+            top[at[first]] = node[first]
+            above[at] = node
+        rest = np.flatnonzero(open_)
+        out[rest] = self.escape[top[rest]] + self.path[top[rest]] + np.log2(max(1, self.distinct))
+        return out
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", sample: int = SAMPLE, order: int = ORDER) -> dict[str, Tree]:
+class Scorer:
+    """Code lengths of texts under each tree. Windows of late are remembered in a table of fixed size, which changes no value."""
+
+    def __init__(self, trees: dict[str, Tree], cells: int = CELLS) -> None:
+        self.langs, self.trees = list(trees), list(trees.values())
+        slots = 1 << max(8, (cells // max(1, len(trees))).bit_length() - 1)
+        self.shift = np.uint64(64 - (slots.bit_length() - 1))
+        self.names, self.known = np.full(slots, np.iinfo(np.uint64).max, np.uint64), np.zeros((slots, len(trees)), np.float32)
+
+    def _code(self, have: np.ndarray, packed: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """Bits of each window by language."""
+        window = have.astype(np.uint64) << np.uint64(8 * ORDER + 8) | packed << np.uint64(8) | byte
+        slot = (mix(window) >> self.shift).astype(np.int64)
+        out = self.known[slot]
+        new = np.flatnonzero(self.names[slot] != window)
+        if len(new):
+            names, first, inverse = np.unique(window[new], return_index=True, return_inverse=True)
+            at = new[first]
+            bits = np.stack([t.bits(have[at], packed[at], byte[at]) for t in self.trees], 1).astype(np.float32)
+            out[new] = bits[inverse]
+            # Where several windows meet in a slot, the last one written owns the name and the bits.
+            self.names[slot[at]] = names
+            self.known[slot[at]] = bits
+        return out
+
+    def bits(self, own: list[bytes]) -> np.ndarray:
+        """Bits of each whole text by language."""
+        data, place = joined(own)
+        text, out = np.repeat(np.arange(len(own)), [len(t) for t in own]), np.zeros((len(own), len(self.trees)))
+        for at in range(0, len(data), STEP):
+            end = min(len(data), at + STEP)
+            have, packed = contexts(data, place, at, end)
+            found, whose = self._code(have, packed, data[at:end]), text[at:end]
+            for k in range(len(self.trees)):
+                out[whose[0] : whose[-1] + 1, k] += np.bincount(whose - whose[0], found[:, k], whose[-1] - whose[0] + 1)
+        return out
+
+    def best(self, own: list[bytes | None]) -> list[tuple[str, float, float | None]]:
+        """Language, its posterior probability, and its bits a byte, of each text."""
+        out: list[tuple[str, float, float | None]] = [(UNKNOWN, 0.0, None)] * len(own)
+        lettered = [k for k, t in enumerate(own) if self.trees and has_letter(t)]
+        for k, bits in zip(lettered, self.bits([own[k] for k in lettered]), strict=True):
+            b = int(bits.argmin())
+            out[k] = (self.langs[b], float(1 / np.exp2(np.maximum(bits[b] - bits, -1000)).sum()), float(bits[b] / len(own[k])))
+        return out
+
+
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", sample: int = SAMPLE, most: int = LANGUAGES) -> dict[str, Tree]:
     """Trees by language, from about `sample` labelled rows of each, whole texts; rows without text or label are passed over.
 
-    The counts are summed on the executors; what comes to the driver is bounded by the sample.
+    The counts are summed on the executors; what comes to the driver is bounded by the sample
+    and by `most` languages: more labels than that are an error.
     """
     small_batches(docs.sparkSession)
     labelled = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(key_col).alias("key")).filter("text IS NOT NULL AND lang IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
+    rows = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(most + 1).collect()}
+    if len(rows) > most:
+        raise ValueError(f"more than {most} languages")
+    if not rows:
         return {}
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, sample / n))])
+    share = F.create_map(*[F.lit(x) for k, n in rows.items() for x in (k, min(1.0, sample / n))])
     place = F.pmod(F.xxhash64(F.col("key").cast("string")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     picked = labelled.filter(place < share[F.col("lang")]).select("text", "lang")
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        words: dict[str, Counter[bytes]] = defaultdict(Counter)
         for batch in batches:
+            own: dict[str, list[bytes]] = {}
             for text, lang in zip(texts(batch), batch.column(1).to_pylist(), strict=True):
-                words[lang].update(text.split())
-        for lang, found in words.items():
-            rows = [(c, b, n) for c, after in follow(found, order).items() for b, n in after.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), *(pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int32(), pa.int64()), strict=True))] if rows else [pa.array([], t) for t in (pa.string(), pa.binary(), pa.int32(), pa.int64())], names=["lang", "context", "byte", "n"])
-
-    nodes = picked.mapInArrow(fn, "lang string, context binary, byte int, n long").groupBy("lang", "context", "byte").agg(F.sum("n").alias("n")).groupBy("lang", "context").agg(F.collect_list("byte").alias("bytes"), F.collect_list("n").alias("ns"))
-    trees: dict[str, Tree] = {lang: {} for lang in sorted(counts)}
-    for part in nodes.toArrow().to_batches():
-        for lang, context, after, n in zip(*(c.to_pylist() for c in part.columns), strict=True):
-            trees[lang][context] = pack(dict(zip(after, n, strict=True)))
-    return trees
-
-
-class Scorer:
-    """Code lengths of texts under each tree.
+                own.setdefault(lang, []).append(text)
+            for lang, found in own.items():
+                names, n = counts(found)
+                yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(names), np.int32))), i64(names), pa.array(n)], names=["lang", "window", "n"])
+
+    seen = picked.mapInArrow(fn, "lang string, window long, n long").groupBy("lang", "window").agg(F.sum("n").alias("n")).toArrow()
+    lang, windows, n = seen["lang"].to_numpy(zero_copy_only=False), seen["window"].to_numpy().astype(np.uint64), seen["n"].to_numpy()
+    out = {}
+    for name in sorted(rows):
+        own = np.flatnonzero(lang == name)
+        own = own[np.argsort(windows[own])]
+        out[name] = Tree(windows[own], n[own])
+    return out
 
-    Words and byte grams are remembered in tables of fixed size; a full one is emptied, which
-    changes no value.  A text's new words are coded together.
-    """
 
-    def __init__(self, trees: dict[str, Tree], order: int = ORDER, words: int = CACHE_WORDS, grams: int = CACHE_GRAMS) -> None:
-        self.langs, self.trees, self.order = list(trees), list(trees.values()), order
-        self.grams: dict[bytes, int] = {}
-        self.words: dict[bytes, int] = {}
-        self.of_gram, self.of_word = np.zeros((grams, max(1, len(trees)))), np.zeros((words, max(1, len(trees))))
-
-    def _gram(self, gram: bytes) -> int:
-        k = self.grams[gram] = len(self.grams)
-        self.of_gram[k] = [code_length(t, gram[:-1], gram[-1]) for t in self.trees]
-        return k
-
-    def _long(self, word: bytes) -> np.ndarray:
-        """A word with as many grams as the table holds is coded piece by piece."""
-        s, total = b" " + word + b" ", np.zeros(len(self.trees))
-        for i in range(1, len(s)):
-            total += [code_length(t, s[max(0, i - self.order) : i], s[i]) for t in self.trees]
-        return total
-
-    def _code(self, words: list[bytes]) -> np.ndarray:
-        """Bits by language of words whose grams fit into the table together."""
-        if len(self.grams) + sum(map(len, words)) + 2 * len(words) > len(self.of_gram):
-            self.grams.clear()
-        get, order, make, at, starts = self.grams.get, self.order, self._gram, [], []
-        for word in words:
-            s = b" " + word + b" "
-            starts.append(len(at))
-            for i in range(1, len(s)):
-                gram = s[i - order if i > order else 0 : i + 1]
-                k = get(gram)
-                at.append(make(gram) if k is None else k)
-        return np.add.reduceat(self.of_gram[at], starts)
-
-    def _rows(self, words: list[bytes]) -> np.ndarray:
-        """Bits by language of each of some words."""
-        known = self.words
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if len(known) + len(new) > len(self.of_word):
-            known.clear()
-            new = list(dict.fromkeys(words))
-        if new:
-            first = len(known)
-            known.update(zip(new, range(first, first + len(new)), strict=True))
-            self.of_word[first : first + len(new)] = self._code(new)
-        return self.of_word[[known[w] for w in words]]
-
-    def bits(self, text: bytes) -> np.ndarray:
-        """Bits of the whole text by language."""
-        words, total = text.split(), np.zeros(len(self.trees))
-        if max(map(len, words), default=0) > LONG:
-            for word in words:
-                if len(word) > LONG:
-                    total += self._code([word])[0] if len(word) <= STEP_BYTES else self._long(word)
-            words = [w for w in words if len(w) <= LONG]
-        step = min(STEP_WORDS, len(self.of_word), max(1, len(self.of_gram) // (LONG + 2)))
-        for at in range(0, len(words), step):
-            total += self._rows(words[at : at + step]).sum(0)
-        return total
-
-    def best(self, text: bytes | None) -> tuple[str, float, float | None]:
-        """Language, its posterior probability, and its bits a byte."""
-        if not self.trees or not has_letter(text):
-            return UNKNOWN, 0.0, None
-        bits = self.bits(text)
-        k = int(bits.argmin())
-        return self.langs[k], float(1 / np.exp2(np.maximum(bits[k] - bits, -1000)).sum()), float(bits[k] / len(text))
-
-
-def predict(docs: DataFrame, trees: dict[str, Tree], text_col: str = "text", order: int = ORDER) -> DataFrame:
+def predict(docs: DataFrame, trees: dict[str, Tree], text_col: str = "text") -> DataFrame:
     """docs with lang_pred, score and bits_per_byte (null if und), in place of columns of those names.
 
     Null texts and texts without a letter are und with score 0.
@@ -198,14 +241,14 @@ def predict(docs: DataFrame, trees: dict[str, Tree], text_col: str = "text", ord
     small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score", "bits_per_byte")
     given = docs.sparkSession.sparkContext.broadcast(trees)
-    key = uuid.uuid4().hex
+    own = uuid.uuid4().hex
     names = [*docs.columns, "lang_pred", "score", "bits_per_byte"]
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = held(("langid", key), lambda: Scorer(given.value, order))
+        scorer = held(("langid", own), lambda: Scorer(given.value))
         for batch in batches:
-            lang, score, rate = zip(*map(scorer.best, texts(batch, text_col)), strict=True) if batch.num_rows else ((), (), ())
+            lang, score, rate = zip(*scorer.best(texts(batch, text_col)), strict=True) if batch.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], names=names)
 
     return docs.mapInArrow(fn, schema)

@@ -16,12 +16,12 @@ def test_pipeline_matches_plain_stages(spark, rows, tmp_path):
     spark.createDataFrame([(*r, "s", len(r[1] or "")) for r in own], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
 
-    words = {}
+    trained = {}
     for doc, text, lang in own:
         if text is not None and lang is not None and zlib.crc32(str(doc).encode()) % 5:
-            words.setdefault(lang, langid.Counter()).update(text.encode().split())
-    scorer = langid.Scorer({k: langid.grow(v) for k, v in sorted(words.items())})
-    found = [(r, scorer.best(None if r[1] is None else r[1].encode())) for r in own]
+            trained.setdefault(lang, []).append(text.encode())
+    scorer = langid.Scorer({k: langid.Tree(*langid.counts(v)) for k, v in sorted(trained.items())})
+    found = list(zip(own, scorer.best([None if r[1] is None else r[1].encode() for r in own]), strict=True))
     one = [r for r, (lang, _, _) in found if lang != "und"]
     stay = brute_components(one)
     two = [r for r in one if stay[r[0]][2]]

@@ -243,13 +243,59 @@ def test_language(docs, rows, none):
     assert langid.identify(none).collect() == []
 
 
+def plain_bits(trained, text, order=4):
+    """Code length of a text by the definition: counts of each context, escapes with exclusion."""
+    after = {}
+    for t in trained:
+        for i in range(len(t)):
+            for k in range(min(i, order) + 1):
+                after.setdefault(t[i - k : i], Counter())[t[i]] += 1
+    total = 0.0
+    for i in range(len(text)):
+        seen = set()
+        for k in range(min(i, order), -1, -1):
+            left = {b: n for b, n in after.get(text[i - k : i], {}).items() if b not in seen}
+            if text[i] in left:
+                total -= math.log2(left[text[i]] / (sum(left.values()) + len(left)))
+                break
+            if left:
+                total -= math.log2(len(left) / (sum(left.values()) + len(left)))
+                seen |= left.keys()
+        else:
+            total += math.log2(256 - len(seen))
+    return total
+
+
+TRAINED = [b"the then  on\nthe other thenceforth", b"on and on", "caf\u00e9 au lait".encode(), b"", b"t"]
+
+
+def test_code_lengths_equal_the_definition(monkeypatch):
+    rng = random.Random(4)
+    own = ["", "the", " ", "then on\n\nthe", "caf\u00e9 \u6f22", "\x00 zz the"] + ["".join(rng.choice("then o\nac\u00e9x") for _ in range(rng.choice([1, 3, 80]))) for _ in range(60)]
+    own = [t.encode() for t in own]
+    want = [[plain_bits(TRAINED, t), plain_bits(TRAINED[1:2], t), 8.0 * len(t)] for t in own]
+    trees = {"a": langid.Tree(*langid.counts(TRAINED)), "b": langid.Tree(*langid.counts(TRAINED[1:2])), "none": langid.Tree(*langid.counts([]))}
+    for step, cells in ((langid.STEP, langid.CELLS), (7, 1)):
+        monkeypatch.setattr(langid, "STEP", step)
+        scorer = langid.Scorer(trees, cells)
+        for _ in range(2):
+            assert np.allclose(scorer.bits(own), want, rtol=1e-5, atol=1e-4)
+    assert [x[0] for x in langid.Scorer(trees).best([b"the then the then", b"on on", None, b"12 -"])] == ["a", "b", "und", "und"]
+
+
 def test_code_lengths_are_probabilities():
-    tree = langid.grow(Counter({b"the": 3, b"then": 1, b"on": 2}))
-    for context in (b"", b" ", b" t", b" the", b"zz"):
-        assert abs(sum(2 ** -langid.code_length(tree, context, b) for b in range(256)) - 1) < 1e-9
-    small, large = langid.Scorer({"a": tree}, words=50, grams=5000), langid.Scorer({"a": tree})
-    text = b"the then other on words of all kinds thenceforth " * 40 + b" ".join(b"w%d" % (k % 90) for k in range(900)) + b"x" * 100
-    assert np.allclose(small.bits(text), large.bits(text))
+    tree = langid.Tree(*langid.counts(TRAINED))
+    for context in (b"", b" ", b" t", b"the ", b"thex"):
+        data, place = langid.joined([context + bytes([b]) for b in range(256)])
+        have, packed = langid.contexts(data, place, 0, len(data))
+        last = place == len(context)
+        assert abs(np.exp2(-tree.bits(have[last], packed[last], data[last])).sum() - 1) < 1e-5
+
+
+def test_too_many_languages(spark):
+    docs = spark.createDataFrame([(k, "text", f"l{k}") for k in range(9)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        langid.fit(docs, most=8)
 
 
 def test_bpe_equals_tiktoken():
