@@ -2,10 +2,14 @@
 
 The pieces of an existing vocabulary weight all segmentations of a word: a forward recursion
 in log space sums over every path, so a word's probability is marginal over its
-segmentations, and a document's is the product over its words and one end.  Pieces do not
-cross white space.  The vocabulary's own scores (ranks) give the first weights; one pass of
-expectation over the counts of all training words, from the forward and backward sums, gives
-the weights that score.
+segmentations.  Pieces do not cross white space.  The vocabulary's scores are ranks; the piece
+of rank r weighs 1 / (r + OFFSET), and these weights, with one for the end, sum to one.
+
+``lattice_score`` is the marginal probability of the document under the vocabulary alone: the
+product over its words and one end.  ``score`` is that of the model which also knows the
+corpus: a word seen c times in N training tokens of V kinds has (c + V q) / (N + V), where q is
+its marginal probability in the lattice (the share V of Witten and Bell is what all training
+documents say of unseen words).  The probabilities of all words and the end sum to one.
 
 A word is scored once for the whole corpus.  The FREQUENT commonest words (a fixed number,
 so a bounded broadcast) are looked up where the documents are read; only the rest is joined
@@ -31,12 +35,12 @@ from ._common import LONG, crc_mod, i64, release, small_batches, texts, written
 
 FOLDS = 10
 FREQUENT = 65_536
-HELD_WORDS = 500_000
+#: Words, and bytes of words over LONG, that a task counts before it passes them on.
+HELD_WORDS, HELD_BYTES = 500_000, 16 << 20
 #: Cells of the table in which words of like length are scored together.
 GROUP_CELLS = 500_000
 ALPHA = 0.1
-#: First weight of the piece of rank r: 1 / (r + OFFSET).  Occurrences that every piece is given besides those expected.
-OFFSET, GIVEN = 2.7, 0.01
+OFFSET = 2.7
 MARK = "▁"
 LN10 = math.log(10)
 
@@ -95,9 +99,9 @@ class Lattice:
         with np.errstate(divide="ignore"):
             return np.log(np.exp(terms - top[:, None]).sum(1)) + top
 
-    def run(self, words: list[str], counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Natural log probability of each word over all segmentations; given counts, also the expected uses of pieces and bytes."""
-        out, uses, byte_uses = np.zeros(len(words)), np.zeros(len(self.pieces)), np.zeros(256)
+    def run(self, words: list[str]) -> np.ndarray:
+        """Natural log probability of each word over all its segmentations."""
+        out = np.zeros(len(words))
         for places in self._groups(words):
             own = [MARK + words[k] for k in places]
             size = np.array([len(w) for w in own])
@@ -113,38 +117,25 @@ class Lattice:
             for j in range(1, width + 1):
                 back = np.arange(1, min(self.longest, j) + 1)
                 alpha[:, j] = self._sum(alpha[:, j - back] + w[:, j - back, back - 1])
-            total = alpha[np.arange(n), size]
-            out[places] = total
-            if counts is None:
-                continue
-            beta = np.full((n, width + 1), -np.inf)
-            beta[np.arange(n), size] = 0.0
-            for i in range(width - 1, -1, -1):
-                ahead = np.arange(1, min(self.longest, width - i) + 1)
-                beta[:, i] = np.where(i < size, self._sum(w[:, i, ahead - 1] + beta[:, i + ahead]), beta[:, i])
-            log_n = np.log(counts[places]) - total
-
-            def share(cells: np.ndarray, n=n, width=width, table=table, alpha=alpha, beta=beta, log_n=log_n) -> np.ndarray:
-                word, place, length = cells // self.longest // width, cells // self.longest % width, cells % self.longest + 1
-                return np.exp(alpha[word, place] + table[cells] + beta[word, place + length] + log_n[word])
-
-            uses += np.bincount(found, share(cells), len(self.pieces)) if len(cells) else 0
-            if rest:
-                for (_, data), x in zip(rest, share(np.array([c for c, _ in rest], np.int64)), strict=True):
-                    for b in data:
-                        byte_uses[b] += x
-        return out, uses, byte_uses
-
-
-def first_weights(model: bytes) -> Lattice:
-    """Weights from the vocabulary's own order of scores."""
+            out[places] = alpha[np.arange(n), size]
+        return out
+
+
+def vocabulary(model: bytes) -> tuple[Lattice, float, float]:
+    """The lattice of a vocabulary by its own order of scores, the log weight of the end, and the end's log share of all tokens.
+
+    Bytes and the end weigh as much as a piece one rank below the last.  A word is a piece that
+    begins one and others until the next begins, so words and the end share the tokens as the
+    pieces that begin words and the end share their weights.
+    """
     sp = sentencepiece.SentencePieceProcessor(model_proto=model)
     ids = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i))]
     order = sorted(ids, key=lambda i: (-sp.get_score(i), i))
-    weight = 1 / (np.arange(len(order)) + OFFSET)
-    low = 1 / (len(order) + OFFSET)
-    total = weight.sum() + 256 * low
-    return Lattice([sp.id_to_piece(i) for i in order], np.log(weight / total), np.full(256, math.log(low / total)))
+    pieces = [sp.id_to_piece(i) for i in order]
+    weight, low = 1 / (np.arange(len(order)) + OFFSET), 1 / (len(order) + OFFSET)
+    total = weight.sum() + 257 * low
+    begins = sum(w for p, w in zip(pieces, weight, strict=True) if p.startswith(MARK))
+    return Lattice(pieces, np.log(weight / total), np.full(256, math.log(low / total))), math.log(low / total), math.log(low / (begins + low))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,6 +143,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
     seen: tuple[Counter[bytes], Counter[bytes]] = (Counter(), Counter())
 
+    long = 0
+
     def rows() -> pa.RecordBatch:
         train, rest = seen
         words = list(train.keys() | rest.keys())
@@ -162,38 +155,23 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text, learn in zip(texts(batch), batch.column(2).to_pylist(), strict=True):
-            seen[0 if learn else 1].update((text or b"").lower().split())
-            if len(seen[0]) + len(seen[1]) > HELD_WORDS:
+            words = (text or b"").lower().split()
+            seen[0 if learn else 1].update(words)
+            if words and max(map(len, words)) > LONG:
+                long += sum(len(w) for w in words if len(w) > LONG)
+            if len(seen[0]) + len(seen[1]) > HELD_WORDS or long > HELD_BYTES:
                 yield rows()
+                long = 0
     yield rows()
 
 
-def learn(words: DataFrame, ends: int, model: bytes) -> tuple[Lattice, float]:
-    """Weights after one expectation pass over words(word, train), and the log weight of the end.
-
-    What comes to the driver has a row for each piece of the vocabulary and each byte at most.
-    """
-    given = words.sparkSession.sparkContext.broadcast(model)
-
-    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        lattice = first_weights(given.value)
-        uses, byte_uses = np.zeros(len(lattice.pieces)), np.zeros(256)
-        for batch in batches:
-            _, a, b = lattice.run([w.decode() for w in batch.column(0).to_pylist()], np.array(batch.column(1).to_pylist(), np.float64))
-            uses += a
-            byte_uses += b
-        every = np.concatenate([uses, byte_uses])
-        seen = np.flatnonzero(every)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(every[seen], pa.float64())], names=["piece", "n"])
-
-    first = first_weights(model)
-    n = np.full(len(first.pieces) + 256, GIVEN)
-    for r in words.filter("train > 0").select("word", "train").mapInArrow(fn, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():
-        n[r["piece"]] += r["n"]
-    total = n.sum() + GIVEN + ends
-    log = np.log(n / total)
-    return Lattice(first.pieces, log[: len(first.pieces)], log[len(first.pieces) :]), math.log((GIVEN + ends) / total)
+def mixed(count: np.ndarray, lattice: np.ndarray, tokens: int, kinds: int) -> np.ndarray:
+    """Log10 probabilities of tokens seen so often, given those in the lattice; without training the latter."""
+    if not tokens:
+        return lattice
+    with np.errstate(divide="ignore"):
+        unseen = math.log10(kinds) + lattice
+        return np.where(count > 0, np.log10(np.maximum(count, 1) + 10.0**unseen), unseen) - math.log10(tokens + kinds)
 
 
 def _commonest(scored: DataFrame) -> DataFrame:
@@ -210,11 +188,11 @@ def _commonest(scored: DataFrame) -> DataFrame:
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score.
 
     Learns from rows whose id's crc32 modulo 10 is not 0; a row with a null id is neither
     learned from nor held out.  A null or empty text is its end alone.  Repeated rows count and
-    are scored as often as they stand.  Without training rows the first weights score.
+    are scored as often as they stand.  Without training rows the vocabulary alone scores.
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
@@ -227,61 +205,64 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     known = words.agg(F.coalesce(F.sum("train"), F.lit(0)).alias("n"), F.count(F.when(F.col("train") > 0, 1)).alias("v")).first()
     n_train, distinct = known["n"] + ends, known["v"] + (ends > 0)
     below = n_train + ALPHA * (distinct + 1)
-    lattice, end_weight = learn(words, ends, model)
-    parts = spark.sparkContext.broadcast((lattice.pieces, lattice.weights, lattice.bytes))
+    _, end_weight, end_share = vocabulary(model)
+    given = spark.sparkContext.broadcast(model)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        own = Lattice(*parts.value)
+        own, _, _ = vocabulary(given.value)
         for batch in batches:
             found = batch.column(0).to_pylist()
-            value = own.run([w.decode() for w in found])[0] / LN10
-            yield pa.RecordBatch.from_arrays([batch.column(0), i64(np.array([xxhash.xxh3_64_intdigest(w) for w in found], np.uint64)), batch.column(1), batch.column(2), pa.array(value, pa.float64())], names=["word", "h", "train", "rest", "lp"])
-
-    scored = written(words.mapInArrow(weigh, "word binary, h long, train long, rest long, lp double"))
-    common = _commonest(scored).select("word", "train", "lp").toArrow()
-    by_word = dict(zip(common["word"].to_pylist(), zip([int(c > 0) for c in common["train"].to_pylist()], [math.log10((c + ALPHA) / below) for c in common["train"].to_pylist()], common["lp"].to_pylist(), strict=True), strict=True))
+            value = own.run([w.decode() for w in found]) / LN10
+            both = mixed(batch.column(1).to_numpy(), value, n_train, distinct)
+            yield pa.RecordBatch.from_arrays([batch.column(0), i64(np.array([xxhash.xxh3_64_intdigest(w) for w in found], np.uint64)), batch.column(1), batch.column(2), pa.array(value, pa.float64()), pa.array(both, pa.float64())], names=["word", "h", "train", "rest", "lp", "mix"])
+
+    scored = written(words.mapInArrow(weigh, "word binary, h long, train long, rest long, lp double, mix double"))
+    common = _commonest(scored).select("word", "train", "lp", "mix").toArrow()
+    train = common["train"].to_pylist()
+    by_word = dict(zip(common["word"].to_pylist(), zip([int(c > 0) for c in train], [math.log10((c + ALPHA) / below) for c in train], common["lp"].to_pylist(), common["mix"].to_pylist(), strict=True), strict=True))
     frequent = spark.sparkContext.broadcast(by_word)
-    end = (int(ends > 0), math.log10((ends + ALPHA) / below), end_weight / LN10)
+    end = (int(ends > 0), math.log10((ends + ALPHA) / below), end_weight / LN10, float(mixed(np.array([ends]), np.array([end_share / LN10]), n_train, distinct)[0]))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         get = frequent.value.get
         for batch in batches:
-            cols: tuple[list, ...] = ([], [], [], [], [], [], [], [])
+            cols: tuple[list, ...] = tuple([] for _ in range(9))
             for doc, text in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
                 text = text or b""
                 row = int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
-                tokens, (n_known, base_, lp) = 1, end
+                tokens, (n_known, base_, lp, both) = 1, end
                 for word, n in Counter(text.lower().split()).items():
                     tokens += n
                     if (v := get(word)) is None:
-                        for c, x in zip(cols, (doc, row, xxhash.xxh3_64_intdigest(word), n, 0, 0.0, 0.0, 0), strict=True):
+                        for c, x in zip(cols, (doc, row, xxhash.xxh3_64_intdigest(word), n, 0, 0.0, 0.0, 0.0, 0), strict=True):
                             c.append(x)
                     else:
                         n_known += n * v[0]
                         base_ += n * v[1]
                         lp += n * v[2]
-                for c, x in zip(cols, (doc, row, row & (1 << 64) - 1, tokens, n_known, base_, lp, 1), strict=True):
+                        both += n * v[3]
+                for c, x in zip(cols, (doc, row, row & (1 << 64) - 1, tokens, n_known, base_, lp, both, 1), strict=True):
                     c.append(x)
             doc, row, h, *rest = cols
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(row, pa.int64()), i64(np.array(h, np.uint64)), *(pa.array(x, t) for x, t in zip(rest, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32()), strict=True))], names=["doc_id", "row", "h", "n", "known", "base", "lp", "whole"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(row, pa.int64()), i64(np.array(h, np.uint64)), *(pa.array(x, t) for x, t in zip(rest, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int32()), strict=True))], names=["doc_id", "row", "h", "n", "known", "base", "lp", "mix", "whole"])
 
     # One pass gives, per document, a row of what the frequent words sum to and a row for each other word.  Both go
     # through one join: only the latter meet their word, the former only travel with them, dealt by a hash of the text.
-    seen = base.select("doc_id", "text").mapInArrow(read, "doc_id long, row long, h long, n long, known long, base double, lp double, whole int")
-    word = scored.select(F.col("h").alias("wh"), "train", F.col("lp").alias("w"), F.lit(0).alias("of"))
+    seen = base.select("doc_id", "text").mapInArrow(read, "doc_id long, row long, h long, n long, known long, base double, lp double, mix double, whole int")
+    word = scored.select(F.col("h").alias("wh"), "train", F.col("lp").alias("w"), F.col("mix").alias("m"), F.lit(0).alias("of"))
     met = seen.join(word, (F.col("h") == F.col("wh")) & (F.col("whole") == F.col("of")), "left")
     rare = F.col("whole") == 0
     whole = met.select(
         "doc_id", "row", F.when(rare, 0).otherwise(F.col("n")).alias("n"), F.when(~rare, F.col("known")).when(F.col("train") > 0, F.col("n")).otherwise(0).alias("known"),
-        F.when(rare, F.col("n") * F.log10((F.col("train") + ALPHA) / below)).otherwise(F.col("base")).alias("base"), F.when(rare, F.col("n") * F.col("w")).otherwise(F.col("lp")).alias("lp"), F.col("whole"),
+        F.when(rare, F.col("n") * F.log10((F.col("train") + ALPHA) / below)).otherwise(F.col("base")).alias("base"), F.when(rare, F.col("n") * F.col("w")).otherwise(F.col("lp")).alias("lp"), F.when(rare, F.col("n") * F.col("m")).otherwise(F.col("mix")).alias("mix"), F.col("whole"),
     )
-    sums = whole.groupBy("doc_id", "row").agg(*[F.sum(c).alias(c) for c in ("n", "known", "base", "lp", "whole")])
+    sums = whole.groupBy("doc_id", "row").agg(*[F.sum(c).alias(c) for c in ("n", "known", "base", "lp", "mix", "whole")])
     fold = crc_mod(F.col("doc_id"), FOLDS)
     # Repeated rows were summed together; each gets its share and its row back.
     each = lambda c, kind: (F.col(c) / F.col("whole")).cast(kind)
     return sums.withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("whole")))).select(
         "doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), each("n", "long").alias("n_tokens"), each("known", "long").alias("n_known"),
-        F.lit(n_train).cast("long").alias("train_tokens"), each("base", "double").alias("base_score"), each("lp", "double").alias("score"),
+        F.lit(n_train).cast("long").alias("train_tokens"), each("base", "double").alias("base_score"), each("mix", "double").alias("score"), each("lp", "double").alias("lattice_score"),
     )

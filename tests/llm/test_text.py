@@ -370,7 +370,7 @@ def plain_probability(word, pieces, bytes_):
         if i == len(word):
             return 1.0
         if i not in known:
-            total = sum(math.exp(w) * tail(i + len(p)) for p, w in pieces.items() if word.startswith(p, i))
+            total = sum(math.exp(pieces[p]) * tail(i + len(p)) for p in {word[i:j] for j in range(i + 1, min(len(word), i + 40) + 1)} & pieces.keys())
             if word[i] not in pieces:
                 total += math.exp(sum(bytes_[b] for b in word[i].encode())) * tail(i + 1)
             known[i] = total
@@ -384,9 +384,17 @@ def test_lattice_sums_all_segmentations():
     weights = {p: math.log(w) for p, w in pieces.items()}
     own = lattice.Lattice(list(weights), np.array(list(weights.values())), np.full(256, math.log(1e-4)))
     words = ["a", "abc", "abcabcab", "xyz", "aéb", "c", "abcx"]
-    got, uses, byte_uses = own.run(words, np.ones(len(words)))
-    assert np.allclose(got, [plain_probability(lattice.MARK + w, weights, own.bytes) for w in words])
-    assert abs(byte_uses.sum() - (3 + 2 + 1)) < 1e-9 and uses.sum() > len(words)
+    assert np.allclose(own.run(words), [plain_probability(lattice.MARK + w, weights, own.bytes) for w in words])
+
+
+def test_vocabulary_weights_sum_to_one():
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        own, end, share = lattice.vocabulary(f.read())
+    assert abs(np.exp(own.weights).sum() + np.exp(own.bytes).sum() + math.exp(end) - 1) < 1e-9 and max(map(len, own.pieces)) <= 40
+    begins = sum(math.exp(w) for p, w in zip(own.pieces, own.weights, strict=True) if p.startswith(lattice.MARK))
+    assert math.isclose(share, end - math.log(begins + math.exp(end)))
+    mix = 10 ** lattice.mixed(np.array([3, 0, 2]), np.log10([0.2, 0.7, 0.1]), 5, 2)
+    assert np.allclose(mix, [(3 + 0.4) / 7, 1.4 / 7, 2.2 / 7]) and abs(mix.sum() - 1) < 1e-12
 
 
 def test_lattice_table(crowded, docs, rows, none):
@@ -397,8 +405,15 @@ def test_lattice_table(crowded, docs, rows, none):
         if doc is not None and zlib.crc32(str(doc).encode()) % 10:
             train.update(own)
     n, v = train.total(), len(train)
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        whole, end, share = lattice.vocabulary(f.read())
+    pieces = dict(zip(whole.pieces, whole.weights.tolist(), strict=True))
+    log = {None: share} | {t: plain_probability(lattice.MARK + t.decode(), pieces, whole.bytes) if len(t) < 500 else whole.run([t.decode()])[0] for own in tokens.values() for t in own if t}
     for doc, own in tokens.items():
         r = out[doc]
+        assert math.isclose(r["lattice_score"], sum(log[t] if t else end for t in own) / lattice.LN10, rel_tol=1e-9)
+        score = sum(math.log10((train[t] + v * math.exp(log[t])) / (n + v)) if train[t] or log[t] > -700 else math.log10(v / (n + v)) + log[t] / lattice.LN10 for t in own)
+        assert math.isclose(r["score"], score, rel_tol=1e-9)
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(own), sum(train[t] > 0 for t in own), n)
         assert math.isclose(r["base_score"], sum(math.log10((train[t] + 0.1) / (n + 0.1 * (v + 1))) for t in own), rel_tol=1e-9)
         assert r["score"] < 0 and r["held_out"] == (doc is not None and zlib.crc32(str(doc).encode()) % 10 == 0)
