@@ -2,16 +2,21 @@
 
 The markup is read once as a flat stream; block tags end a block.  A block is described by
 its words, its link density, those of its two neighbours, and by what encloses it.  A small
-decision tree (Gini, grown here from the labelled rows below) keeps or drops it.
+decision tree (Gini) keeps or drops it; it is grown from a small labelled table, the blocks of
+PAGES pages that are laid out by rule (see lay_out) with each block marked as main text or not.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from random import Random
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +25,7 @@ from ._common import small_batches
 
 # Elements of the markup language by role.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
-RAW_TAGS = ("script", "style", "template", "noscript", "iframe", "object", "svg", "math", "textarea", "select", "title", "canvas", "audio", "video")
+RAW_TAGS = ("script", "style", "template", "noscript", "iframe", "svg", "textarea", "select", "title", "canvas", "audio", "video")
 BAD_TAGS = frozenset("nav header footer aside form button menu dialog head".split())
 MAIN_TAGS = frozenset("article main".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -56,6 +61,8 @@ def blocks(page: str | None) -> list[Block]:
         return out
     page = _RAW.sub(lambda m: "<hr>" if m[1] and m[1].lower() in BLOCK_TAGS else "", page)
     open_: list[tuple[str, bool]] = []
+    places: dict[str, list[int]] = defaultdict(list)  # of the open elements of a name in open_
+    edges: list[int] = []  # places of the open elements that end blocks
     bad = main = links = items = 0
     parts: list[tuple[str, bool]] = []
     heading = False
@@ -78,7 +85,10 @@ def blocks(page: str | None) -> list[Block]:
             items -= name in ("li", "td", "th", "option")
             if len(name) == 2 and name[0] == "h":
                 heading = False
+            places[name].pop()
         del open_[k:]
+        while edges and edges[-1] >= k:
+            edges.pop()
 
     at = 0
     for m in _TAG.finditer(page):
@@ -94,23 +104,18 @@ def blocks(page: str | None) -> list[Block]:
         elif name in ("br", "img", "input"):
             parts.append((" ", False))
         if m[1]:
-            for k in range(len(open_) - 1, -1, -1):
-                if open_[k][0] == name:
-                    shut(k)
-                    break
-                if open_[k][0] in BLOCK_TAGS and not block:
-                    break
+            if places[name] and (block or not edges or places[name][-1] > edges[-1]):
+                shut(places[name][-1])
         elif name not in VOID_TAGS and not m[3].rstrip().endswith("/"):
-            for k in range(len(open_) - 1, -1, -1) if block else ():
-                if open_[k][0] == "p":  # a new block ends a paragraph, with what is open inside it
-                    shut(k)
-                    break
-                if open_[k][0] in BLOCK_TAGS:
-                    break
+            if block and edges and open_[edges[-1]][0] == "p":  # a new block ends a paragraph, with what is open inside it
+                shut(edges[-1])
             given = m[3]
             is_bad = name in BAD_TAGS
             if given and not is_bad:
                 is_bad = name not in PAGE_TAGS and any(BAD_NAMES.search(STATE_NAMES.sub("", " ".join(x))) for x in _NAMES.findall(given)) or bool(_HIDDEN.search(given)) or (r := _ROLE.search(given)) is not None and r[1].lower() in BAD_ROLES
+            places[name].append(len(open_))
+            if block:
+                edges.append(len(open_))
             open_.append((name, is_bad))
             bad += is_bad
             main += name in MAIN_TAGS
@@ -123,216 +128,154 @@ def blocks(page: str | None) -> list[Block]:
     return out
 
 
-#: Columns of the labelled rows.
+#: Columns of the labelled rows; densities in hundredths.
 FEATURES = ("words", "link", "words_before", "link_before", "words_after", "link_after", "bad", "main", "page_main", "item", "heading")
+#: Pages of the labelled table, the rule's seed, and the least rows that a split leaves on a side.
+PAGES, SEED, LEAF = 300, 20250102, 2
+
+# Parts of a page: how the markup of one is made, and whether it is main text. A part is one block or more.
+Part = tuple[str, list[int]]
+
+
+def _filler(n: int) -> str:
+    return " ".join(["word"] * n)
+
+
+def _linked(rng: Random, low: int, high: int) -> str:
+    return f"<a href=x>{_filler(rng.randint(low, high))}</a>"
+
+
+def _paragraph(rng: Random) -> Part:
+    """Mostly long, at times a few words; at times with a link."""
+    n = rng.choice([rng.randint(18, 140), rng.randint(18, 140), rng.randint(9, 30), rng.randint(1, 8)])
+    link = " " + _linked(rng, 1, 1 + n // 12) if rng.random() < 0.25 and n > 8 else ""
+    return f"<{(tag := rng.choice(['p', 'p', 'p', 'blockquote']))}>{_filler(n)}{link}</{tag}>", [1]
+
+
+def _list(rng: Random) -> Part:
+    items = [_filler(rng.choice([rng.randint(1, 6), rng.randint(5, 25)])) + (" " + _linked(rng, 1, 2) if rng.random() < 0.15 else "") for _ in range(rng.randint(2, 6))]
+    return "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>", [1] * len(items)
+
+
+def _table(rng: Random) -> Part:
+    n = 2 * rng.randint(2, 4)
+    cells = [f"<td>{_filler(rng.randint(1, 4))}</td>" for _ in range(n)]
+    return "<table>" + "".join("<tr>" + "".join(cells[k : k + 2]) + "</tr>" for k in range(0, n, 2)) + "</table>", [1] * n
+
+
+def _section(rng: Random) -> Part:
+    body, labels = "", []
+    for part in [_paragraph(rng)] + [rng.choice([_paragraph, _paragraph, _list, _table])(rng) for _ in range(rng.randint(0, 3))]:
+        body, labels = body + part[0], labels + part[1]
+    return f"<h2>{_filler(rng.randint(1, 9))}</h2>{body}", [1, *labels]
+
+
+def _story(rng: Random) -> Part:
+    """The main text: mostly a title, then paragraphs, and at times sections with lists and tables; it begins, and mostly ends, with a paragraph of some words."""
+    title = rng.random() < 0.8
+    body, labels = (f"<h1>{_filler(rng.randint(1, 12))}</h1>" if title else "") + f"<p>{_filler(rng.randint(12, 90))}</p>", [1] * (1 + title)
+    for _ in range(rng.randint(0, 4)):
+        part = rng.choice([_paragraph, _paragraph, _section, _list])(rng)
+        body, labels = body + part[0], labels + part[1]
+    end = _list(rng) if rng.random() < 0.15 else (f"<p>{_filler(rng.randint(9, 90))}</p>", [1])
+    return body + end[0], labels + end[1]
 
-# The labelled table: one row per block in the order of FEATURES (densities in hundredths), then 1 for main text.
-LABELLED = """
-45 0 60 0 38 0 0 1 1 0 0 1
-3 0 55 0 70 0 0 1 1 0 0 1
-1 0 40 0 80 0 0 1 1 0 0 1
-9 0 0 0 52 0 0 1 1 0 1 1
-12 0 8 0 66 0 0 1 1 0 1 1
-110 4 35 0 90 2 0 1 1 0 0 1
-28 0 120 3 2 50 0 1 1 0 0 1
-8 0 22 0 30 0 0 1 1 1 0 1
-15 20 44 0 12 10 0 1 1 1 0 1
-60 0 0 0 0 0 0 1 1 0 0 1
-2 0 3 0 2 0 0 1 1 0 0 1
-6 0 9 0 12 0 0 1 1 0 0 1
-4 100 30 0 60 0 0 1 1 0 0 1
-5 60 80 0 60 0 0 1 1 0 0 1
-1 100 1 100 1 100 1 0 1 1 0 0
-2 100 1 100 3 100 1 0 1 1 0 0
-1 100 0 0 1 100 1 0 0 1 0 0
-10 0 1 100 9 0 1 0 1 0 0 0
-14 0 60 0 0 0 1 0 1 0 0 0
-12 10 45 0 0 0 1 0 0 0 0 0
-40 0 70 0 35 0 1 1 1 0 0 0
-6 0 50 0 40 0 1 1 1 0 0 0
-25 0 60 0 33 0 1 0 1 0 0 0
-55 2 48 0 3 80 1 0 0 0 0 0
-3 0 6 0 4 0 1 0 1 0 0 0
-18 0 90 0 30 0 0 0 1 0 0 0
-4 0 9 0 66 0 0 0 1 0 0 0
-30 10 40 0 20 0 0 0 1 0 0 0
-2 100 1 100 9 0 0 0 1 0 0 0
-70 0 85 0 4 100 0 0 1 0 0 0
-48 0 60 0 55 0 0 0 0 0 0 1
-30 3 70 0 40 0 0 0 0 0 0 1
-22 0 5 0 65 0 0 0 0 0 0 1
-16 0 50 0 48 0 0 0 0 0 0 1
-85 5 2 100 1 100 0 0 0 0 0 1
-7 0 3 0 58 0 0 0 0 0 1 1
-5 0 60 0 72 0 0 0 0 0 1 1
-9 0 64 0 51 0 0 0 0 0 0 1
-6 0 40 0 55 0 0 0 0 0 0 1
-14 0 55 0 40 0 0 0 0 1 0 1
-2 100 2 100 2 100 0 0 0 1 0 0
-4 75 3 100 2 100 0 0 0 0 0 0
-3 0 2 100 1 100 0 0 0 0 0 0
-6 50 40 0 2 100 0 0 0 0 0 0
-12 66 10 70 9 80 0 0 0 0 0 0
-4 0 5 0 3 0 0 0 0 0 0 0
-5 0 0 0 4 50 0 0 0 0 0 0
-3 33 6 0 0 0 0 0 0 0 0 0
-2 100 70 0 65 0 0 0 0 1 0 0
-20 80 15 70 18 90 0 0 0 0 0 0
-70 0 2 100 50 0 0 1 1 0 0 1
-33 0 12 0 8 0 0 1 1 0 0 1
-2 0 1 100 3 0 0 1 1 0 0 1
-1 0 25 0 0 0 0 1 1 0 0 1
-90 1 140 0 100 0 0 1 1 0 0 1
-19 0 2 0 44 0 0 1 1 1 0 1
-64 0 33 0 1 0 0 1 1 0 0 1
-38 2 7 0 21 0 0 1 1 0 0 1
-13 0 31 0 6 0 0 1 1 0 0 1
-80 0 3 0 2 0 1 1 1 0 0 0
-35 0 90 0 85 0 1 1 1 0 0 0
-44 0 12 0 60 0 1 0 1 0 0 0
-8 0 5 0 6 0 1 0 1 0 0 0
-17 0 66 0 70 0 1 0 1 0 0 0
-3 0 12 0 2 0 1 0 1 1 0 0
-12 0 11 0 10 0 1 0 0 0 0 0
-64 0 58 0 61 0 1 0 0 0 0 0
-31 3 3 100 90 0 1 0 0 0 0 0
-9 0 70 0 66 0 1 0 0 0 1 0
-2 0 1 0 1 0 1 0 0 0 0 0
-55 0 45 0 62 0 0 0 1 0 0 0
-9 0 0 0 60 0 0 0 1 0 0 0
-5 0 62 0 0 0 0 0 1 0 0 0
-24 0 5 0 6 0 0 0 1 0 0 0
-11 0 3 0 40 0 0 0 1 0 1 0
-90 0 5 0 4 0 0 0 1 0 0 0
-120 0 60 0 20 0 0 0 1 0 0 0
-100 2 3 100 10 0 0 0 1 0 0 0
-150 0 2 0 3 0 0 0 1 0 0 0
-85 0 30 0 14 0 0 0 1 0 0 0
-33 0 2 100 33 0 0 0 0 0 0 1
-33 0 2 100 33 0 0 0 1 0 0 0
-33 0 2 100 33 0 1 0 0 0 0 0
-33 0 33 0 3 0 0 0 0 0 0 1
-33 0 33 0 3 0 0 0 1 0 0 0
-33 0 33 0 3 0 1 0 0 0 0 0
-40 2 55 0 0 0 0 0 0 0 0 1
-40 2 55 0 0 0 0 0 1 0 0 0
-40 2 55 0 0 0 1 0 0 0 0 0
-25 0 20 0 18 0 0 0 0 0 0 1
-25 0 20 0 18 0 0 0 1 0 0 0
-25 0 20 0 18 0 1 0 0 0 0 0
-18 0 40 0 22 0 0 0 0 0 0 1
-18 0 40 0 22 0 0 0 1 0 0 0
-18 0 40 0 22 0 1 0 0 0 0 0
-62 1 3 100 4 100 0 0 0 0 0 1
-62 1 3 100 4 100 0 0 1 0 0 0
-62 1 3 100 4 100 1 0 0 0 0 0
-14 0 28 0 35 0 0 0 0 0 0 1
-14 0 28 0 35 0 0 0 1 0 0 0
-14 0 28 0 35 0 1 0 0 0 0 0
-28 6 44 3 2 100 0 0 0 0 0 1
-28 6 44 3 2 100 0 0 1 0 0 0
-28 6 44 3 2 100 1 0 0 0 0 0
-90 0 0 0 0 0 0 0 0 0 0 1
-90 0 0 0 0 0 0 0 1 0 0 0
-90 0 0 0 0 0 1 0 0 0 0 0
-21 0 16 0 95 0 0 0 0 0 0 1
-21 0 16 0 95 0 0 0 1 0 0 0
-21 0 16 0 95 0 1 0 0 0 0 0
-12 0 52 0 47 0 0 0 0 0 0 1
-12 0 52 0 47 0 0 0 1 0 0 0
-12 0 52 0 47 0 1 0 0 0 0 0
-75 3 10 0 30 2 0 0 0 0 0 1
-75 3 10 0 30 2 0 0 1 0 0 0
-75 3 10 0 30 2 1 0 0 0 0 0
-10 0 36 0 29 0 0 0 0 0 0 1
-10 0 36 0 29 0 0 0 1 0 0 0
-10 0 36 0 29 0 1 0 0 0 0 0
-50 0 80 0 10 60 0 0 0 0 0 1
-50 0 80 0 10 60 0 0 1 0 0 0
-50 0 80 0 10 60 1 0 0 0 0 0
-3 0 4 0 5 0 0 0 0 0 0 0
-8 0 3 100 2 0 0 0 0 0 0 0
-5 0 33 0 0 0 0 0 0 0 0 0
-2 0 9 0 40 0 0 0 0 0 0 0
-6 40 30 0 28 0 0 0 0 0 0 0
-4 0 2 100 6 0 0 0 0 0 0 0
-7 0 5 0 8 20 0 0 0 0 0 0
-6 0 5 0 2 0 0 0 0 0 1 1
-4 0 30 0 5 0 0 0 0 0 1 1
-5 0 30 0 8 0 0 0 0 0 1 1
-6 0 45 0 3 0 0 0 0 0 1 1
-2 0 0 0 60 0 0 0 0 0 1 1
-8 0 3 0 1 0 0 0 0 1 0 1
-1 0 2 0 1 0 0 0 0 1 0 1
-3 0 7 0 2 0 0 0 0 1 0 1
-8 0 30 0 20 0 0 0 0 1 0 1
-5 0 7 0 8 0 0 0 0 1 0 1
-7 0 2 0 20 0 0 0 0 1 0 1
-7 0 45 0 2 0 0 0 0 1 0 1
-2 0 12 0 2 0 0 0 0 1 0 1
-1 0 30 0 20 0 0 0 0 1 0 1
-5 0 30 0 50 0 0 0 0 0 0 1
-1 0 70 0 8 0 0 0 0 0 0 1
-6 0 70 0 3 0 0 0 0 0 0 1
-6 0 50 0 30 0 0 0 0 0 0 1
-1 0 70 0 50 0 0 0 0 0 0 1
-12 0 0 0 6 0 0 0 0 0 0 1
-12 0 0 0 40 0 0 0 0 0 0 1
-9 0 0 0 40 0 0 0 0 0 0 1
-13 0 8 0 3 0 0 0 0 0 0 1
-10 0 8 0 0 0 0 0 0 0 0 1
-10 0 5 0 40 0 0 0 0 0 0 1
-14 0 30 0 6 0 0 0 0 0 0 1
-15 0 2 0 40 0 0 0 0 0 0 1
-12 0 5 0 40 0 0 0 0 0 0 1
-15 0 30 0 3 0 0 0 0 0 0 1
-1 0 9 100 5 0 0 0 0 0 0 0
-3 0 3 100 35 0 0 0 0 0 0 0
-5 0 3 0 45 0 0 0 0 0 0 0
-5 0 9 100 35 0 0 0 0 0 0 0
-4 0 1 100 5 0 0 0 0 0 0 0
-6 0 5 100 8 0 0 0 0 0 0 0
-1 0 5 0 2 0 0 0 0 0 0 0
-6 0 1 100 5 0 0 0 0 0 0 0
-4 0 3 0 2 0 0 0 0 0 0 0
-2 0 1 0 2 0 0 0 0 0 0 0
-1 0 60 0 0 0 0 0 0 0 0 0
-6 0 25 0 0 0 0 0 0 0 0 0
-1 0 40 0 0 0 0 0 0 0 0 0
-4 0 25 0 0 0 0 0 0 0 0 0
-7 0 40 0 0 0 0 0 0 0 0 0
-"""
 
+def _note(rng: Random) -> Part:
+    """A short article: a few words a block, linked ones among them."""
+    texts = [_linked(rng, 1, 6) if rng.random() < 0.25 else _filler(rng.randint(1, 12)) for _ in range(rng.randint(1, 5))]
+    tags = [rng.choice(["p", "p", "h1", "li", "td"]) for _ in texts]
+    return "".join(f"<{t}>{x}</{t}>" for t, x in zip(tags, texts, strict=True)), [1] * len(texts)
 
-def labelled() -> tuple[list[tuple[float, ...]], list[int]]:
-    rows = [tuple(map(float, line.split())) for line in LABELLED.strip().splitlines()]
-    return [r[:-1] for r in rows], [int(r[-1]) for r in rows]
 
+def _menu(rng: Random) -> Part:
+    n = rng.randint(2, 7)
+    return "<ul>" + "".join(f"<li>{_linked(rng, 1, 3)}</li>" for _ in range(n)) + "</ul>", [0] * n
 
-def grow_tree(rows: list[tuple[float, ...]], labels: list[int], depth: int = 8):
+
+def _bar(rng: Random) -> Part:
+    return "<div>" + " | ".join(_linked(rng, 1, 2) for _ in range(rng.randint(2, 6))) + "</div>", [0]
+
+
+def _brand(rng: Random) -> Part:
+    return f"<div>{_filler(rng.randint(1, 5))}</div>", [0]
+
+
+def _related(rng: Random) -> Part:
+    n = rng.randint(2, 6)
+    return f"<h3>{_filler(rng.randint(1, 3))}</h3><ul>" + "".join(f"<li>{_linked(rng, 3, 11)}</li>" for _ in range(n)) + "</ul>", [0] * (n + 1)
+
+
+def _legal(rng: Random) -> Part:
+    return f"<div>{_filler(rng.randint(2, 14))} {_linked(rng, 1, 4) if rng.random() < 0.5 else ''}</div>", [0]
+
+
+def _dropped(rng: Random) -> Part:
+    """A part that its element or its name gives away."""
+    n = rng.choice([1, 2])
+    start, end = rng.choice([("<nav>", "</nav>"), ("<aside>", "</aside>"), ("<footer>", "</footer>"), ("<form>", "</form>"), ("<div class=ad>", "</div>"), ("<div class='cookie-notice'>", "</div>"), ("<section id=comments>", "</section>"), ("<div class='share-buttons'>", "</div>")])
+    return start + "".join(f"<p>{_filler(rng.choice([rng.randint(1, 12), rng.randint(10, 80)]))}</p>" for _ in range(n)) + end, [0] * n
+
+
+def lay_out(rng: Random) -> tuple[str, list[int]]:
+    """A page and, for each of its blocks in order, whether it is main text."""
+    tag = rng.choice(["article", "main", "", ""])
+    story, kept = (_note if tag and rng.random() < 0.6 else _story)(rng)
+    if tag or rng.random() < 0.3:
+        for _ in range(rng.randint(0, 2)):
+            part = _dropped(rng)
+            story, kept = (part[0] + story, part[1] + kept) if rng.random() < 0.5 else (story + part[0], kept + part[1])
+    much = 0.2 if rng.random() < 0.2 else 1.0
+    some = lambda share, *kinds: [rng.choice(kinds)(rng)] if rng.random() < share * much else []
+    above = [*some(0.6, _menu, _bar), *some(0.4, _brand), *some(0.5, _dropped), *some(0.2, _menu)]
+    rng.shuffle(above)
+    above += some(0.7, _menu, _bar, _dropped)
+    below = [*some(0.6, _related, _menu, _bar), *some(0.3, _related), *some(0.5, _dropped), *some(0.4, _legal)]
+    if tag:
+        extra = [f"<div>{_filler(rng.randint(1, 80))}</div>" for _ in range(rng.choice([0, 1, 2]))]
+        above += [(x, [0]) for x in extra]
+        story = f"<{tag}>{story}</{tag}>"
+    parts = [*above, (f"<div>{story}</div>", kept), *below]
+    return "<html><body>" + "".join(x for x, _ in parts) + "</body></html>", [y for _, labels in parts for y in labels]
+
+
+@lru_cache(maxsize=4)
+def labelled(pages: int = PAGES, seed: int = SEED) -> tuple[list[tuple[float, ...]], list[int]]:
+    """The labelled table: FEATURES of every block of the pages, and 1 for main text."""
+    rng, rows, labels = Random(seed), [], []
+    for _ in range(pages):
+        page, kept = lay_out(rng)
+        found = describe(blocks(page))
+        assert len(found) == len(kept)
+        rows += found
+        labels += kept
+    return rows, labels
+
+
+def grow_tree(rows: list[tuple[float, ...]], labels: list[int], depth: int = 10, leaf: int = LEAF):
     """A binary decision tree by Gini impurity: (feature, threshold, below, above), or the share of main text in a leaf."""
-    share = sum(labels) / len(labels)
-    if depth == 0 or share in (0.0, 1.0):
-        return share
-
-    def impurity(own: list[int]) -> float:
-        p = sum(own) / len(own)
-        return len(own) * 2 * p * (1 - p)
-
-    best = None
-    for f in range(len(rows[0])):
-        values = sorted({r[f] for r in rows})
-        for low, high in zip(values, values[1:], strict=False):
-            t = (low + high) / 2
-            left, right = ([y for r, y in zip(rows, labels, strict=True) if (r[f] <= t) == side] for side in (True, False))
-            cost = impurity(left) + impurity(right)
-            if best is None or cost < best[0] - 1e-12:
-                best = (cost, f, t)
-    if best is None or best[0] >= impurity(labels):
-        return share
-    _, f, t = best
-    parts = [[(r, y) for r, y in zip(rows, labels, strict=True) if (r[f] <= t) == side] for side in (True, False)]
-    return (f, t, *(grow_tree([r for r, _ in p], [y for _, y in p], depth - 1) for p in parts))
+
+    def grow(x: np.ndarray, y: np.ndarray, depth: int):
+        share = float(y.mean())
+        if depth == 0 or share in (0.0, 1.0):
+            return share
+        best = (2 * len(y) * share * (1 - share) - 1e-9, 0, 0.0)
+        for f in range(x.shape[1]):
+            order = np.argsort(x[:, f], kind="stable")
+            v, good = x[order, f], np.cumsum(y[order])
+            n = np.arange(1, len(y))
+            a, b = good[:-1], good[-1] - good[:-1]
+            cost = 2 * a * (n - a) / n + 2 * b * (len(y) - n - b) / (len(y) - n)
+            cost[(v[1:] == v[:-1]) | (np.minimum(n, len(y) - n) < leaf)] = np.inf
+            k = int(cost.argmin())
+            if cost[k] < best[0] - 1e-9:
+                best = (cost[k], f, (v[k] + v[k + 1]) / 2)
+        if best[2] == 0.0 and best[1] == 0:
+            return share
+        low = x[:, best[1]] <= best[2]
+        return best[1], float(best[2]), grow(x[low], y[low], depth - 1), grow(x[~low], y[~low], depth - 1)
+
+    return grow(np.array(rows, np.float64), np.array(labels, np.float64), depth)
 
 
 def classify(tree, row: tuple[float, ...]) -> bool:
