@@ -12,7 +12,11 @@ Equal sets become one class first.  A bucket gives one edge from each member to
 never its pairs; the components of these edges are the groups within which links can lie.  A
 group is compared in cells of two blocks, so no task holds more than two blocks and a large
 group is spread; a cell confirms pairs on the full sets, passing over those already joined,
-and returns only the links that join.  Their components are the result.
+and returns only the links that join.  Texts are not sent to all cells of a large group at
+once: its cells first compare signatures alone, which leaves smaller groups of documents that
+are near by lanes; each of their documents is then confirmed against the group's smallest, and
+only what has no link with that one is compared, cell by cell, with all others of its group.
+The components of the confirmed links are the result.
 """
 
 from __future__ import annotations
@@ -102,8 +106,11 @@ def keys(sig: Column, wide: int = WIDE) -> Column:
     return F.array(*out)
 
 
-def _links(percent: int):
-    """Links of each cell that join: rows come sorted by cell, with the block of each document."""
+def _cells(percent: int, confirm: bool):
+    """Links of each cell that join: rows come sorted by cell, with block and label of each document; equal labels are joined already.
+
+    Without confirm documents are linked that are near by lanes and size.
+    """
     most = far(percent)
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,44 +119,101 @@ def _links(percent: int):
 
         def compare() -> list[tuple[int, int]]:
             one_block = cell[1] == cell[2]
-            ids, sets = [x[0] for x in held], [x[3] for x in held]
-            size, block = np.array([len(x) for x in sets]), np.array([x[1] for x in held])
-            sig = np.stack([np.frombuffer(x[2], "<u2") for x in held])
-            root, out = np.arange(len(ids)), []
+            ids, sets = [x[0] for x in held], [x[5] for x in held]
+            size, block = np.array([x[4] for x in held]), np.array([x[1] for x in held])
+            sig = np.stack([np.frombuffer(x[3], "<u2") for x in held])
+            root, out = np.unique([x[2] for x in held], return_inverse=True)[1], []
             for i in range(len(ids) - 1):
                 rest = slice(i + 1, None)
                 ok = (root[rest] != root[i]) & (100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i]))
                 if not one_block:
                     ok &= block[rest] != block[i]
-                for k in np.flatnonzero(ok) + i + 1:
-                    if root[k] == root[i] or (sig[k] != sig[i]).sum() > most:
+                near = np.flatnonzero(ok) + i + 1
+                for k in near[(sig[near] != sig[i]).sum(1) <= most]:
+                    if root[k] == root[i] or confirm and not _linked(sets[i], sets[k], percent):
                         continue
-                    both = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
-                    if 100 * both >= percent * (size[i] + size[k] - both):
-                        root[root == root[k]] = root[i]
-                        if ids[i] != ids[k]:
-                            out.append((ids[i], ids[k]))
+                    root[root == root[k]] = root[i]
+                    if ids[i] != ids[k]:
+                        out.append((ids[i], ids[k]))
             return out
 
-        def rows(found: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["u", "v"])
-
         found: list[tuple[int, int]] = []
         for batch in batches:
-            for group, low, high, block, doc, sig, text in zip(*(batch.column(k).to_pylist() for k in range(6)), texts(batch), strict=True):
+            sets = (shingle_set(t, cache) for t in texts(batch)) if confirm else (None for _ in range(batch.num_rows))
+            for group, low, high, block, label, doc, n, sig, own in zip(*(batch.column(k).to_pylist() for k in range(8)), sets, strict=True):
                 if (group, low, high) != cell:
                     if len(held) > 1:
                         found += compare()
                     cell, held = (group, low, high), []
-                held.append((doc, block, sig, shingle_set(text, cache)))
-            yield rows(found)
+                held.append((doc, block, label, sig, n if own is None else len(own), own))
+            yield _edges(found)
             found = []
         if len(held) > 1:
-            yield rows(compare())
+            yield _edges(compare())
+
+    return fn
+
+
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["u", "v"])
+
+
+def _stars(percent: int):
+    """Links of documents with the first of their group: rows come sorted by group and salt, that one first."""
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        cache, first, of = WordHash(), [], None
+        for batch in batches:
+            found = []
+            for group, salt, other, doc, text in zip(*(batch.column(k).to_pylist() for k in range(4)), texts(batch), strict=True):
+                own = shingle_set(text, cache)
+                if (group, salt) != of:
+                    first, of = [], (group, salt)
+                if not other:
+                    first.append(own)
+                elif any(_linked(x, own, percent) for x in first):
+                    found.append((doc, group))
+            yield _edges(found)
 
     return fn
 
 
+def _blocked(member: DataFrame) -> DataFrame:
+    """member(component, node, n, ...) with s, the number of blocks of its group."""
+    docs, least = F.col("docs"), F.least(F.lit(BLOCK_MOST), F.greatest(F.lit(BLOCK_LEAST), F.floor(F.col("docs") / 32)))
+    s = F.greatest(F.ceil(docs / least), F.ceil(F.col("all_n") / BLOCK_SHINGLES)).cast("int")
+    return member.join(member.groupBy("component").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("all_n")).select("component", s.alias("s")), "component")
+
+
+def _dealt(placed: DataFrame) -> DataFrame:
+    """Rows of cells(component, low, high, block, label, doc_id, n, sig) of placed(..., label, open, opened, closed).
+
+    Open documents meet all blocks of their group, the others only the blocks of open ones;
+    opened and closed are the numbers of these blocks.
+    """
+    block = F.when(F.col("open"), F.pmod(F.xxhash64("node"), F.greatest("opened", F.lit(1)))).otherwise(F.col("opened") + F.pmod(F.xxhash64("node"), F.greatest("closed", F.lit(1)))).cast("int")
+    others = F.when(F.col("open"), F.col("opened") + F.col("closed")).otherwise(F.col("opened"))
+    spread = placed.withColumn("block", block).filter(others > 0).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
+    return spread.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "label", F.col("node").alias("doc_id"), "n", "sig")
+
+
+def _compared(cells: DataFrame, percent: int, confirm: bool) -> DataFrame:
+    rows = cells.repartition("component", "low", "high").sortWithinPartitions("component", "low", "high", "block", "doc_id")
+    return rows.mapInArrow(_cells(percent, confirm), "u long, v long")
+
+
+def _with_text(base: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows(doc_id, ...) with every text that the id has."""
+    texts_ = base.join(rows.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return rows.join(texts_, "doc_id")
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -170,22 +234,26 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     edges = buckets.join(shared, "key").filter("rep <> hub").select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct()
     groups = written(connected_components(edges))
 
-    member = groups.join(classes, F.col("node") == F.col("rep")).select("node", "component", "n", "sig")
-    blocks = member.groupBy("component").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("all_n")).select(
-        "component",
-        F.greatest(
-            F.ceil(F.col("docs") / F.least(F.lit(BLOCK_MOST), F.greatest(F.lit(BLOCK_LEAST), F.floor(F.col("docs") / 32)))),
-            F.ceil(F.col("all_n") / BLOCK_SHINGLES),
-        ).cast("int").alias("s"),
-    )
-    placed = member.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("s")).cast("int"))
-    cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).select(
-        "component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", F.col("node").alias("doc_id"), "sig"
-    )
-    with_text = base.join(member.select(F.col("node").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id", "text"])
-    cells = cells.join(with_text, "doc_id").select("component", "low", "high", "block", "doc_id", "sig", "text")
-    cells = cells.repartition("component", "low", "high").sortWithinPartitions("component", "low", "high", "block", "doc_id")
-    joined = connected_components(cells.mapInArrow(_links(percent), "u long, v long"))
+    member = written(_blocked(groups.join(classes, F.col("node") == F.col("rep")).select("component", "node", "n", "sig")))
+    stars, small, large = None, member.filter("s = 1"), member.filter("s > 1")
+    apart = small.withColumn("label", F.col("node")).withColumn("open", F.lit(True)).withColumn("opened", F.col("s")).withColumn("closed", F.lit(0))
+    if not large.isEmpty():
+        plain = large.withColumn("label", F.col("node")).withColumn("open", F.lit(True)).withColumn("opened", F.col("s")).withColumn("closed", F.lit(0))
+        near = connected_components(_compared(_dealt(plain), percent, confirm=False))
+        member = written(_blocked(near.join(large.select("node", "n", "sig"), "node")))
+        salted = member.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("s")).cast("int"))
+        rest = salted.filter("node <> component").select("component", "salt", F.lit(1).alias("other"), F.col("node").alias("doc_id"))
+        first = rest.select("component", "salt").distinct().select("component", "salt", F.lit(0).alias("other"), F.col("component").alias("doc_id"))
+        starred = _with_text(base, rest.unionByName(first)).repartition("component", "salt").sortWithinPartitions("component", "salt", "other")
+        stars = written(starred.select("component", "salt", "other", "doc_id", "text").mapInArrow(_stars(percent), "u long, v long").distinct())
+        known = member.join(stars.select(F.col("u").alias("node"), F.col("v").alias("label")), "node", "left")
+        known = known.withColumn("open", F.col("label").isNull() & (F.col("node") != F.col("component")))
+        shares = known.groupBy("component").agg(F.count_if("open").alias("o"), F.count(F.lit(1)).alias("all"))
+        opened = F.ceil(F.col("s") * F.col("o") / F.col("all")).cast("int")
+        known = known.join(shares, "component").filter("o > 0").withColumn("opened", opened).withColumn("closed", F.ceil(F.col("s") * (F.col("all") - F.col("o")) / F.col("all")).cast("int"))
+        apart = apart.unionByName(known.withColumn("label", F.coalesce("label", "node")).select(*apart.columns))
+    links = _compared(_with_text(base, _dealt(apart)).select("component", "low", "high", "block", "label", "doc_id", "n", "sig", "text"), percent, confirm=True)
+    joined = connected_components(links if stars is None else links.unionByName(stars))
 
     of_class = classes.join(joined, F.col("rep") == F.col("node"), "left").select("digest1", "digest2", F.coalesce("component", "rep").alias("component_id"))
     placed_all = all_.join(of_class, ["digest1", "digest2"], "left")

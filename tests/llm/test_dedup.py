@@ -1,6 +1,7 @@
 """Substring and near-duplicate operators against brute force."""
 
 import hashlib
+import random
 from collections import Counter
 
 import pytest
@@ -112,6 +113,30 @@ def test_large_groups_are_compared_in_cells(spark, monkeypatch):
     assert len({got[k] for k in range(12)}) == 1 and got[50] == 50
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_families_of_one_template(spark, monkeypatch, seed):
+    """Documents that share half of a template and lie at any distance from one another, in many blocks."""
+    monkeypatch.setattr(neardup, "BLOCK_LEAST", 4)
+    monkeypatch.setattr(neardup, "BLOCK_MOST", 7)
+    rng, rows = random.Random(seed), []
+    template = [f"t{i}" for i in range(60)]
+    for _ in range(12):
+        own = [f"o{rng.random()}" for _ in range(60)]
+        for _ in range(rng.randint(1, 9)):
+            words = template + own
+            for at in rng.sample(range(120), rng.choice([0, 1, 2, 3, 4, 9])):
+                words[at] = f"c{rng.random()}"
+            rows.append((len(rows), " ".join(words)))
+    rng.shuffle(rows)
+    sent = []
+    real = neardup._with_text
+    monkeypatch.setattr(neardup, "_with_text", lambda base, r: sent.append(r) or real(base, r))
+    got = {r["doc_id"]: r["component_id"] for r in neardup.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {i: v[1] for i, v in brute_components(rows).items()}
+    assert got == want and len(set(want.values())) < len(rows)
+    assert sum(r.count() for r in sent) < 6 * len(rows)
+
+
 def test_keep_one(crowded, rows):
     out = neardup.keep_one(crowded, percent=85)
     assert out.columns == crowded.columns
