@@ -9,6 +9,7 @@ that the partition lemma leaves, and then matched over the whole history.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,11 +18,15 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import thresholds as T
 from ..sources import sequences as S
-from ..sources.tables import written
+from ..sources.tables import forget, written
 from . import match, stats
 from .mine import Options, mine
 
 STATE = ["pattern", "pat", "utility", "last_sid", "max_inner"]
+#: Tables of increments that are read side by side before they become one.
+TABLES = 8
+#: What a miner knows besides its tables.
+NUMBERS = ["n", "total", "seeded_at", "first_bound", "theta", "evicted", "lost_from", "_settled", "_appended"]
 
 
 @dataclass(frozen=True)
@@ -65,6 +70,8 @@ class IncrementalMiner:
         self.evicted = 0
         self.lost_from: int | None = None
         self._settled = True
+        self._appended = 0
+        self._saved: dict[int, str] = {}
 
     # thresholds
 
@@ -95,9 +102,14 @@ class IncrementalMiner:
     def append(self, batch: DataFrame) -> DataFrame:
         """Number a batch(sid, ev, item, util, ... with sid from 0) behind what is there and store it."""
         rows = batch.select((F.col("sid") + self.n).cast("long").alias("sid"), "ev", "item", "util")
-        stored = written(S.qsdb(rows, len(self.batches)))
+        stored = written(S.qsdb(rows, self._appended))
         u, n = stats.totals(stored)
+        self._appended += 1
         self.batches.append(stored)
+        if len(self.batches) > TABLES + 1:  # the first batch stays apart, as discovery leaves it out
+            merged, old = written(self.history(1)), self.batches[1:]
+            self.batches[1:] = [merged]
+            forget(*old[:-1])
         self.total += u
         self.n = max(self.n, n)
         return stored
@@ -108,6 +120,34 @@ class IncrementalMiner:
             out = b if out is None else out.unionByName(b)
         return out
 
+    # state that outlives the application
+
+    def save(self, at: str, version: int) -> None:
+        """Write the state as that version under a folder; its row of numbers, written last, makes it valid."""
+        for b in self.batches:
+            if id(b) not in self._saved:
+                self._saved[id(b)] = f"{at}/batch-{version}-{len(self._saved)}"
+                b.write.mode("overwrite").parquet(self._saved[id(b)])
+        self.patterns.write.mode("overwrite").parquet(f"{at}/patterns-{version}")
+        row = json.dumps({"version": version, "batches": [self._saved[id(b)] for b in self.batches]} | {k: getattr(self, k) for k in NUMBERS})
+        self.spark.createDataFrame([(row,)], "value string").coalesce(1).write.mode("overwrite").text(f"{at}/state/version={version}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, config: Config, at: str) -> tuple[IncrementalMiner, int]:
+        """A miner as it was last saved there, and that version; a new one and -1 where nothing is."""
+        miner, to = cls(spark, config), spark._jvm.org.apache.hadoop.fs.Path(f"{at}/state")
+        files = to.getFileSystem(spark._jsc.hadoopConfiguration())
+        done = [p.getPath().getParent().toString() for p in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(to, "version=*/_SUCCESS")) or ()]
+        if not done:
+            return miner, -1
+        state = json.loads(spark.read.text(max(done, key=lambda p: int(p.rpartition("=")[2]))).first()["value"])
+        for k in NUMBERS:
+            setattr(miner, k, state[k])
+        miner.batches = [spark.read.parquet(p) for p in state["batches"]]
+        miner._saved = {id(b): p for b, p in zip(miner.batches, state["batches"], strict=True)}
+        miner.patterns = spark.read.parquet(f"{at}/patterns-{state['version']}")
+        return miner, state["version"]
+
     def initial_build(self, batch: DataFrame) -> None:
         c = self.config
         db = self.append(batch)
@@ -168,7 +208,8 @@ class IncrementalMiner:
             rows = kept
         if c.max_tracked is not None:
             rows = self._budget(written(rows))
-        self.patterns = written(rows.select(*STATE))
+        before, self.patterns = self.patterns, written(rows.select(*STATE))
+        forget(before)
 
     def _budget(self, rows: DataFrame) -> DataFrame:
         """The answer, and of the rest the max_tracked of the least floors; ties at the cut go together."""

@@ -94,3 +94,36 @@ def test_stream(spark, example, tmp_path):
     before = feed.miner.n
     feed(rows, feed.last)
     assert feed.miner.n == before
+
+
+def test_stream_goes_on_after_a_restart(spark, example, tmp_path):
+    """A driver is lost after two of three batches, the last of them processed but not saved; a new feed gives the whole answer."""
+    rows, state, config = example.selectExpr("sid AS seq", "ev", "item", "util"), str(tmp_path / "state"), V.exact(BASE)
+
+    def run(feed, upto):
+        for k, (lo, hi) in enumerate(((0, 4), (4, 6), (6, 9))[:upto]):
+            if not (tmp_path / f"in/b={k}").exists():
+                rows.filter(f"seq >= {lo} AND seq < {hi}").coalesce(1).write.parquet(str(tmp_path / f"in/b={k}"))
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/b=*"))
+        start(stream, feed, str(tmp_path / "checkpoint")).awaitTermination()
+
+    run(StreamFeed.resume(spark, config, state), 1)
+
+    def fail(*_):
+        raise RuntimeError("the driver is lost")
+
+    lost = StreamFeed.resume(spark, config, state)
+    assert lost.last == 0 and lost.miner.n == 4
+    lost.miner.save = fail
+    with pytest.raises(Exception, match="lost"):
+        run(lost, 2)
+    again = StreamFeed.resume(spark, config, state)
+    run(again, 3)
+    assert again.last == 2 and as_dict(again.miner.answer()) == EXAMPLE_ANSWER
+    assert as_dict(StreamFeed.resume(spark, config, state).miner.answer()) == EXAMPLE_ANSWER
+
+
+def test_increments_become_one_table(spark, example, monkeypatch):
+    monkeypatch.setattr(I, "TABLES", 2)
+    miner = I.run(spark, example, 9, [1 / 9] * 9, V.exact(BASE))
+    assert len(miner.batches) <= 3 and miner._appended == 9 and as_dict(miner.answer()) == EXAMPLE_ANSWER
