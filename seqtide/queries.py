@@ -15,6 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import metrics as M
 from .functions import patterns as P
 from .functions import thresholds as T
 from .operators import compare, incremental, match, mine, stats
@@ -401,9 +402,7 @@ def text_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Sequences written as text with unit profits, read back and mined, the answer written and read as text."""
     db, _, _ = _view("sess", spark, d)
     at = f"{shared_dir(spark)}/text-{uuid.uuid4().hex}"
-    events = db.groupBy("sid", "ev").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item", "util"))), lambda x: F.concat(x["item"].cast("string"), F.lit("["), x["util"].cast("string"), F.lit("]"))), " ").alias("t"))
-    lines = events.groupBy("sid").agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ev", "t"))), lambda x: x["t"]), " -1 "), F.lit(" -2")).alias("value"))
-    lines.orderBy("sid").select("value").write.text(f"{at}/seq")
+    _as_text(db, f"{at}/seq")
     db.select(F.concat(F.col("item").cast("string"), F.lit(":1")).alias("value")).distinct().write.text(f"{at}/eui")
     back = written(S.read_sequences(spark, f"{at}/seq", S.read_profits(spark, f"{at}/eui")))
     u, n = stats.totals(back)
@@ -412,6 +411,74 @@ def text_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return S.read_patterns(spark, f"{at}/out")
 
 
+def _as_text(db: DataFrame, at: str) -> None:
+    """The database as lines of sequences, with every utility written as a quantity."""
+    events = db.groupBy("sid", "ev").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item", "util"))), lambda x: F.concat(x["item"].cast("string"), F.lit("["), x["util"].cast("string"), F.lit("]"))), " ").alias("t"))
+    lines = events.groupBy("sid").agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ev", "t"))), lambda x: x["t"]), " -1 "), F.lit(" -2")).alias("value"))
+    lines.orderBy("sid").select("value").write.text(at)
+
+
+@_add("text_profits", f"""{_q('sess')} SELECT item, CAST(sum(util * CASE WHEN item < 4 THEN 10 * item ELSE 1 END) AS BIGINT) AS lenient, CAST(sum(util * CASE WHEN item < 4 THEN 10 * item ELSE 0 END) AS BIGINT) AS strict FROM q GROUP BY item""")
+def text_profits(spark: SparkSession, d: str) -> DataFrame:
+    """Sequences read as text with profits of three items alone: those missing count 1, and 0 for the strict reader."""
+    db, _, _ = _view("sess", spark, d)
+    at = f"{shared_dir(spark)}/profits-{uuid.uuid4().hex}"
+    _as_text(db, f"{at}/seq")
+    spark.range(1, 4).select(F.concat(F.col("id").cast("string"), F.lit(":"), (F.col("id") * 10).cast("string")).alias("value")).write.text(f"{at}/eui")
+    profits = S.read_profits(spark, f"{at}/eui")
+    total = lambda name, **o: S.read_sequences(spark, f"{at}/seq", profits, **o).groupBy("item").agg(F.sum("util").alias(name))
+    return total("lenient").join(total("strict", default_profit=0, strict=True), "item")
+
+
+@_add("large_patterns", _answer("sess", SESS, None, cols="trim(regexp_replace(regexp_replace(trim(pattern, '<>'), '\\((\\d+)\\)', ' \\1', 'g'), '\\)\\(', ') (', 'g')) || ' #UTIL: ' || utility AS line"))
+def large_patterns(spark: SparkSession, d: str) -> DataFrame:
+    at = f"{shared_dir(spark)}/large-{uuid.uuid4().hex}"
+    S.write_large_patterns(_mined("sess", SESS, spark, d, None), at)
+    return spark.read.text(at).withColumnRenamed("value", "line")
+
+
+@_add("pattern_counts", f"""{_q('sess')}{_patterns('p')}, t AS (SELECT ceil({INC['ratio']}::DOUBLE * u) AS thr, floor({INC['period']}::DOUBLE * n) AS most, n FROM tot),
+s AS (SELECT utility >= thr AND {_PER} <= most AS ok, utility < thr AND utility >= 0.4::DOUBLE * thr AND {_PER} <= most AS near FROM p, t WHERE utility >= ceil(0.4::DOUBLE * thr) AND {_INNER} <= most)
+SELECT count(*) FILTER (ok) AS answer, count(*) FILTER (near) AS buffered, count(*) AS tracked, CAST(0 AS BIGINT) AS evicted FROM s""")
+def pattern_counts(spark: SparkSession, d: str) -> DataFrame:
+    db, _, n = _view("sess", spark, d)
+    miner = incremental.IncrementalMiner(spark, V.shifted(_config(n, None), 0.4))
+    miner.initial_build(db)
+    return spark.createDataFrame([tuple(miner.counts().values())], "answer long, buffered long, tracked long, evicted long")
+
+
+_BUFFERS = {k: T.Buffer(k) for k in ("fix", "growth", "minbase", "utilratio", "combined")}
+
+
+def _buffer_sql() -> str:
+    b = T.Buffer()
+    risk = lambda x, r: f"{b.most} - pow(least(1.0, greatest(0.0, ({x} - {r[0]}) / ({r[1]} - {r[0]}))), 0.25) * ({b.most} - {b.least})"
+    u, g, m = risk("du / bu", b.utility_range), risk("dn / bn", b.growth_range), risk(f"{INC['ratio']}", b.base_range)
+    kinds = {"fix": f"{b.fixed}", "growth": g, "minbase": m, "utilratio": u, "combined": f"least({u}, {g}, {m})"}
+    parts = " UNION ALL ".join(f"SELECT '{k}' AS strategy, batch, round(CAST(CASE WHEN batch = 0 THEN {b.fixed if k == 'fix' else b.least} ELSE greatest({b.least}, least({b.most}, {e})) END AS DOUBLE), 9) AS factor FROM f" if k != "fix" else f"SELECT 'fix' AS strategy, batch, round(CAST({b.fixed} AS DOUBLE), 9) AS factor FROM f" for k, e in kinds.items())
+    return f"""{_q('sess')}, c AS (SELECT least(n, floor(n * 0.1::DOUBLE + 0.5)) AS a, n FROM tot), c2 AS (SELECT a, least(n, a + floor(n * 0.2::DOUBLE + 0.5)) AS b, n FROM c), c3 AS (SELECT a, b, least(n, b + floor(n * 0.3::DOUBLE + 0.5)) AS c, n FROM c2),
+w AS (SELECT CASE WHEN sid < a THEN 0 WHEN sid < b THEN 1 WHEN sid < c THEN 2 ELSE 3 END AS batch, sum(util)::DOUBLE AS du, count(DISTINCT sid)::DOUBLE AS dn FROM q, c3 GROUP BY 1),
+f AS (SELECT batch, du, dn, sum(du) OVER (ORDER BY batch) - du AS bu, sum(dn) OVER (ORDER BY batch) - dn AS bn FROM w) {parts}"""
+
+
+@_add("adaptive_buffers", _buffer_sql())
+def adaptive_buffers(spark: SparkSession, d: str) -> DataFrame:
+    """The buffer factor of every strategy at each of four growing batches."""
+    db, _, n = _view("sess", spark, d)
+    seen = {r["batch_id"]: (r["u"], r["n"]) for r in S.with_batches(db, n, V.SPLITS["B"]).groupBy("batch_id").agg(F.sum("util").alias("u"), F.countDistinct("sid").alias("n")).collect()}
+    rows, before = [], (0, 0)
+    for k in sorted(seen):
+        rows += [(name, k, round(b.factor(seen[k][0], before[0], seen[k][1], before[1], INC["ratio"]), 9)) for name, b in _BUFFERS.items()]
+        before = (before[0] + seen[k][0], before[1] + seen[k][1])
+    return spark.createDataFrame(rows, "strategy string, batch int, factor double")
+
+
+@_add("speedup_table", "WITH m AS (SELECT l_linenumber AS threads, median(l_extendedprice) AS median FROM lineitem GROUP BY 1) SELECT threads, median, (SELECT median FROM m WHERE threads = 1) / median AS speedup, (SELECT median FROM m WHERE threads = 1) / median / threads AS efficiency FROM m")
+def speedup_table(spark: SparkSession, d: str) -> DataFrame:
+    """Line numbers stand for threads and prices for times."""
+    return M.speedups(spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_linenumber").alias("threads"), F.col("l_extendedprice").alias("seconds")))
+
+
 @_add("stream_foreachbatch", _answer("sess", INC))
 def stream_foreachbatch(spark: SparkSession, d: str) -> DataFrame:
     """The view as a stream of four files into the incremental miner."""

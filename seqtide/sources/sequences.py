@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
 from .tables import written
 
 
@@ -113,6 +114,12 @@ def write_patterns(patterns: DataFrame, path: str, by_utility: bool = False) ->
     ordered.select(line.alias("value")).write.text(path)
 
 
+def write_large_patterns(patterns: DataFrame, path: str) -> None:
+    """Lines ``(1 2) 3 #UTIL: u`` of patterns(pat, utility), by utility, largest first."""
+    line = F.concat(P.intuitive("pat"), F.lit(" #UTIL: "), F.col("utility").cast("string"))
+    patterns.orderBy(F.desc("utility"), line).select(line.alias("value")).write.text(path)
+
+
 def read_patterns(spark: SparkSession, path: str) -> DataFrame:
     form = r"^(.*?) #UTIL: (\d+)(?: #PER: (\d+))?$"
     part = lambda k: F.regexp_extract("value", form, k)

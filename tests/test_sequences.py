@@ -4,9 +4,11 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from seqtide.functions import metrics
 from seqtide.functions import patterns as P
 from seqtide.functions import thresholds as T
 from seqtide.operators import compare, match, mine, stats
+from seqtide.operators.extend import extensions
 from seqtide.operators.mine import Options
 from seqtide.sources import sequences as S
 from tests.fixtures import EXAMPLE, EXAMPLE2, EXAMPLE2_ANSWER, EXAMPLE_ANSWER, EXAMPLE_EUCS, brute_answer, brute_patterns, random_rows
@@ -157,3 +159,28 @@ def test_pattern_files(spark, tmp_path):
 def test_batch_sizes():
     assert S.batch_sizes(9, [0.4, 0.1, 0.4, 0.1]) == [4, 1, 4, 0] and S.batch_sizes(9, [1 / 16] * 16) == [*[1] * 9, *[0] * 7]
     assert S.batch_sizes(12, [0.1, 0.2, 0.3, 0.4]) == [1, 2, 4, 5]
+
+
+def test_speedups_and_names(spark):
+    runs = spark.createDataFrame([(1, 8.0), (1, 10.0), (1, 90.0), (2, 5.0), (4, 4.0), (4, 1.0), (None, 3.0), (2, None)], "threads int, seconds double")
+    assert {r["threads"]: (r["median"], r["speedup"], r["efficiency"]) for r in metrics.speedups(runs).collect()} == {1: (10.0, 1.0, 1.0), 2: (5.0, 2.0, 1.0), 4: (2.5, 4.0, 1.0)}
+    assert metrics.speedups(runs.filter("threads > 1")).filter("speedup IS NOT NULL").collect() == []
+    assert metrics.dataset_tag("/a/b.c/bible_seq.txt") == "bible" and metrics.trim_number(2.0) == "2" and metrics.trim_number(0.25) == "0.25"
+
+
+def test_search_counters(spark):
+    rows = random_rows(6)
+    db = S.qsdb(spark.createDataFrame(rows, SCHEMA)).cache()
+    seen, plain = [], []
+    mine.mine(db, 60, 6, 14, Options(max_len=3), seen)
+    mine.mine(db, 60, 6, 14, Options(max_len=3, bound="none", prune_regularity=False), plain)
+    assert all(x["candidates"] == x["pruned_by_bound"] + x["pruned_by_gap"] + x["explored"] for x in seen + plain)
+    assert sum(x["explored"] for x in seen) < sum(x["explored"] for x in plain) and all(x["pruned_by_gap"] == 0 for x in plain)
+
+
+def test_one_long_sequence(spark):
+    """Two thousand events in one sequence: the extension has a row for each occurrence, not for each pair."""
+    db = S.qsdb(spark.createDataFrame([(0, e, 1 + e % 2, 1) for e in range(2000)], SCHEMA))
+    occ = db.select("sid", "ev", "pos", "item", "util")
+    ends = occ.select("sid", F.col("item").alias("pid"), F.col("item").alias("last"), "ev", "pos", F.col("util").alias("acc"))
+    assert extensions(ends, occ, ["sid"]).groupBy("pid", "ext").count().collect() and extensions(ends, occ, ["sid"]).count() == 1999 + 1998
