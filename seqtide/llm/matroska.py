@@ -25,7 +25,7 @@ from ._common import small_batches, texts
 EBML, EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE, DOC_TYPE, DOC_TYPE_VERSION, DOC_TYPE_READ = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4282, 0x4287, 0x4285
 SEGMENT, INFO, TIMESTAMP_SCALE, DURATION, MUXING_APP, WRITING_APP = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489, 0x4D80, 0x5741
 TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, FLAG_LACING, DEFAULT_DURATION, CODEC_ID, AUDIO, SAMPLING, CHANNELS, BIT_DEPTH = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x23E383, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
-CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
+CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE_BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
 CUES, CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 
 UNIT = 192
@@ -196,12 +196,17 @@ def parse(data: bytes) -> Media:
     out, track, time, cue = Media(), {}, 0, [0, 0]
     number = lambda a, b: int.from_bytes(data[a:b], "big")
     real = lambda a, b: struct.unpack(">f" if b - a == 4 else ">d", data[a:b])[0] if b > a else 0.0
-    segment = 0
+    segment, group, refers = 0, 0, False
     for name, a, b in elements(data, 0, len(data)):
-        if name in (SIMPLE_BLOCK, BLOCK):
+        if name == BLOCK_GROUP:
+            group, refers = len(out.packets), False
+        elif name == REFERENCE_BLOCK:  # before or after its block: what refers to others is no key frame
+            refers = True
+            out.packets[group:] = [(*p[:4], False, p[5]) for p in out.packets[group:]]
+        elif name in (SIMPLE_BLOCK, BLOCK):
             who, relative, flags, spans = frames(data, a, b)
             step = out.tracks.get(who, {}).get("default_duration", 0)
-            key, at = name == BLOCK or flags >= 0x80, (time + relative) * out.scale
+            key, at = not refers if name == BLOCK else flags >= 0x80, (time + relative) * out.scale
             out.packets += [(who, at + k * step, x, size, key, len(out.clusters) - 1) for k, (x, size) in enumerate(spans)]
         elif name == TIMESTAMP:
             time = number(a, b)

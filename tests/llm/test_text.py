@@ -70,6 +70,45 @@ def test_label_model_finds_accuracies(spark):
         assert abs((on_good if side else on_bad) - own) < 0.12 and (on_bad if side else on_good) < 0.2
 
 
+def plain_label_model(patterns, rules, rounds):
+    """EM over vote patterns with their counts, by the formulas: share of good, and how often a rule votes on good and on bad."""
+    names = list(rules)
+    prior = [quality.PRIOR[1] if rules[n][0] else quality.PRIOR[0][::-1] for n in names]
+    good, fires = 0.8, list(prior)
+
+    def posterior(votes):
+        a, b = good, 1 - good
+        for v, (g, h) in zip(votes, fires, strict=True):
+            a, b = (a * g, b * h) if v >= 0 else (a * (1 - g), b * (1 - h))
+        return a / (a + b)
+
+    for _ in range(rounds):
+        p = {v: posterior(v) for v in patterns}
+        on = sum(n * p[v] for v, n in patterns.items())
+        all_ = sum(patterns.values())
+        new = []
+        for k, name in enumerate(names):
+            g = (sum(n * p[v] for v, n in patterns.items() if v[k] >= 0) + quality.PRIOR_SEEN * prior[k][0]) / (on + quality.PRIOR_SEEN)
+            b = (sum(n * (1 - p[v]) for v, n in patterns.items() if v[k] >= 0) + quality.PRIOR_SEEN * prior[k][1]) / (all_ - on + quality.PRIOR_SEEN)
+            g, b = min(0.999, max(0.001, g)), min(0.999, max(0.001, b))
+            new.append((max(g, b), b) if rules[name][0] else (g, max(g, b)))
+        change = max(abs(x - y) for old, now in zip(fires, new, strict=True) for x, y in zip(old, now, strict=True))
+        good, fires = min(0.99, max(0.01, on / all_)), new
+        if change < 1e-4:
+            break
+    return posterior
+
+
+def test_quality_verdicts_of_a_table(crowded):
+    out = quality.judge(crowded).collect()
+    votes = [tuple(r[f"vote_{n}"] for n in quality.RULES) for r in out]
+    posterior = plain_label_model(Counter(votes), quality.RULES, quality.ROUNDS)
+    for r, v in zip(out, votes, strict=True):
+        assert math.isclose(r["quality_prob"], posterior(v), rel_tol=1e-6)
+        assert r["kept"] == (not r["base_failed"] and posterior(v) >= 0.5)
+    assert len({r["kept"] for r in out}) == 2
+
+
 PAGE = """<html><head><title>No</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body>
 <header class="site"><h2>Site name</h2></header><nav><ul><li><a href="/a">Home</a></li></ul></nav>
 <div class="cookie notice">We use cookies on this page.</div>
@@ -506,6 +545,16 @@ def test_unknown_sizes():
     assert len(media.clusters) == 2 and [p[1] for p in media.packets] == [7_000_000] * 2 and matroska.samples(data, media) == b"abcabc"
 
 
+def test_block_groups():
+    """A block of a group is a key frame unless it refers to another, wherever the reference stands."""
+    block, reference = matroska.element(matroska.BLOCK, matroska.lace([b"ab", b"cd"], matroska.FIXED)), matroska.element(matroska.REFERENCE_BLOCK, b"\xff")
+    group = lambda *x: matroska.element(matroska.BLOCK_GROUP, b"".join(x))
+    simple = lambda key: matroska.element(matroska.SIMPLE_BLOCK, matroska.lace([b"e"], matroska.NO_LACING, key=key))
+    body = matroska.uint(matroska.TIMESTAMP, 1) + group(block) + group(block, reference) + simple(True) + group(reference, block) + simple(False) + group(block)
+    media = matroska.parse(matroska.element(matroska.SEGMENT, matroska.element(matroska.CLUSTER, body)))
+    assert [p[4] for p in media.packets] == [True, True, False, False, True, False, False, False, True, True]
+
+
 def test_media_tables(crowded, docs, rows, none):
     texts = {r[0]: (r[1] or "").encode() for r in rows}
     out = matroska.round_trip(crowded).collect()
