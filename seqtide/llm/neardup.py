@@ -185,10 +185,13 @@ def _stars(percent: int):
 
 
 def _blocked(member: DataFrame) -> DataFrame:
-    """member(component, node, n, ...) with s, the number of blocks of its group."""
+    """member(component, node, n, ...) with s, the number of blocks of its group.
+
+    The sizes of groups are written first: the join then has an exchange of its own on each side, and Spark can split a large group.
+    """
     docs, least = F.col("docs"), F.least(F.lit(BLOCK_MOST), F.greatest(F.lit(BLOCK_LEAST), F.floor(F.col("docs") / 32)))
     s = F.greatest(F.ceil(docs / least), F.ceil(F.col("all_n") / BLOCK_SHINGLES)).cast("int")
-    return member.join(member.groupBy("component").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("all_n")).select("component", s.alias("s")), "component")
+    return member.join(written(member.groupBy("component").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("all_n")).select("component", s.alias("s"))), "component")
 
 
 def _dealt(placed: DataFrame) -> DataFrame:
@@ -234,13 +237,14 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     edges = buckets.join(shared, "key").filter("rep <> hub").select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct()
     groups = written(connected_components(edges))
 
-    member = written(_blocked(groups.join(classes, F.col("node") == F.col("rep")).select("component", "node", "n", "sig")))
+    grouped = written(groups.join(classes, F.col("node") == F.col("rep")).select("component", "node", "n", "sig"))
+    member = written(_blocked(grouped))
     stars, small, large = None, member.filter("s = 1"), member.filter("s > 1")
     apart = small.withColumn("label", F.col("node")).withColumn("open", F.lit(True)).withColumn("opened", F.col("s")).withColumn("closed", F.lit(0))
     if not large.isEmpty():
         plain = large.withColumn("label", F.col("node")).withColumn("open", F.lit(True)).withColumn("opened", F.col("s")).withColumn("closed", F.lit(0))
         near = connected_components(_compared(_dealt(plain), percent, confirm=False))
-        member = written(_blocked(near.join(large.select("node", "n", "sig"), "node")))
+        member = written(_blocked(written(near.join(large.select("node", "n", "sig"), "node"))))
         salted = member.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("s")).cast("int"))
         rest = salted.filter("node <> component").select("component", "salt", F.lit(1).alias("other"), F.col("node").alias("doc_id"))
         first = rest.select("component", "salt").distinct().select("component", "salt", F.lit(0).alias("other"), F.col("component").alias("doc_id"))
@@ -248,7 +252,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         stars = written(starred.select("component", "salt", "other", "doc_id", "text").mapInArrow(_stars(percent), "u long, v long").distinct())
         known = member.join(stars.select(F.col("u").alias("node"), F.col("v").alias("label")), "node", "left")
         known = known.withColumn("open", F.col("label").isNull() & (F.col("node") != F.col("component")))
-        shares = known.groupBy("component").agg(F.count_if("open").alias("o"), F.count(F.lit(1)).alias("all"))
+        shares = written(known.groupBy("component").agg(F.count_if("open").alias("o"), F.count(F.lit(1)).alias("all")))
         opened = F.ceil(F.col("s") * F.col("o") / F.col("all")).cast("int")
         known = known.join(shares, "component").filter("o > 0").withColumn("opened", opened).withColumn("closed", F.ceil(F.col("s") * (F.col("all") - F.col("o")) / F.col("all")).cast("int"))
         apart = apart.unionByName(known.withColumn("label", F.coalesce("label", "node")).select(*apart.columns))
