@@ -1,5 +1,7 @@
 """Sources, statistics, static mining, matching and functions."""
 
+from types import SimpleNamespace
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from seqtide.operators import compare, match, mine, stats
 from seqtide.operators.extend import extensions
 from seqtide.operators.mine import Options
 from seqtide.sources import sequences as S
+from seqtide.sources import tables
 from tests.fixtures import EXAMPLE, EXAMPLE2, EXAMPLE2_ANSWER, EXAMPLE_ANSWER, EXAMPLE_EUCS, brute_answer, brute_patterns, random_rows
 
 SCHEMA = "sid long, ev int, item int, util long"
@@ -184,3 +187,17 @@ def test_one_long_sequence(spark):
     occ = db.select("sid", "ev", "pos", "item", "util")
     ends = occ.select("sid", F.col("item").alias("pid"), F.col("item").alias("last"), "ev", "pos", F.col("util").alias("acc"))
     assert extensions(ends, occ, ["sid"]).groupBy("pid", "ext").count().collect() and extensions(ends, occ, ["sid"]).count() == 1999 + 1998
+
+
+def test_a_cluster_needs_a_shared_folder():
+    """Without spark.checkpoint.dir only a Spark of one process gets a folder on this machine."""
+
+    def session(master, at=None):
+        conf = SimpleNamespace(get=lambda name, default=None: at)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: conf))
+
+    for master in ("spark://a:7077", "yarn", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(RuntimeError):
+            tables.shared_dir(session(master))
+        assert tables.shared_dir(session(master, "hdfs://x/y/")) == "hdfs://x/y"
+    assert tables.shared_dir(session("local")) == tables.shared_dir(session("local[4]"))
