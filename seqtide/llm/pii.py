@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 from ._common import release, small_batches, texts
 
 ROUNDS = 10
-#: Setting of the session that holds the key.
-KEY_SETTING = "spark.seqtide.pseudonym.key"
+#: Setting that holds the key; its name is one that Spark hides in logs and pages.
+KEY_SETTING = "spark.seqtide.pseudonym.secret"
 #: Characters of a value that are permuted as one number; longer values go in chunks, each tied to all others.
 CHUNK = 64
 LOWER, UPPER, DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
