@@ -254,7 +254,7 @@ for _name, _ratios in V.SPLITS.items():
     _add(f"batch_split_{_name}", f"{_q('sess')} SELECT CASE {' '.join(_cases)} ELSE {len(_ratios) - 1} END AS batch_id, count(DISTINCT sid) AS sequences, CAST(sum(util) AS BIGINT) AS utility FROM q, tot GROUP BY 1")(_split(_name))
 
 
-@_add("rhusp_minus_husp", f"({_answer('sess', SESS)}) EXCEPT ({_answer('sess', SESS, None)})")
+@_add("rhusp_minus_husp", f"SELECT * FROM ({_answer('sess', SESS)}) EXCEPT SELECT * FROM ({_answer('sess', SESS, None)})")
 def rhusp_minus_husp(spark: SparkSession, d: str) -> DataFrame:
     return compare.only_in(mine.answer(_mined("sess", SESS, spark, d)), mine.answer(_mined("sess", SESS, spark, d, None)))
 
