@@ -169,7 +169,9 @@ class IncrementalMiner:
         delta = self.append(batch)
         c = self.config
         self.theta = c.buffer.factor(self.total - before_u, before_u, self.n - before_n, before_n, c.ratio) * self.min_util
-        self._track(merge(self.patterns, match.state_of(self._match(delta, self.patterns))))
+        matched = self._match(delta, self.patterns)
+        self._track(merge(self.patterns, match.state_of(matched)))
+        forget(matched)
         self._settled = False
         if c.partition and self.total > before_u:
             self._discover(delta, max(1, T.min_utility(c.ratio, self.total - before_u)))
@@ -187,9 +189,11 @@ class IncrementalMiner:
         found = written(self.candidates(db, threshold))
         if found.isEmpty():
             return
-        state = match.state_of(self._match(self.history(), found)).join(found, "pattern")
+        matched = self._match(self.history(), found)
+        state = match.state_of(matched).join(found, "pattern")
         new = state.select("pattern", "pat", "utility", "last_sid", F.greatest(F.col("first_sid") + 1, "intra").alias("max_inner"))
         self._track(self.patterns.unionByName(new))
+        forget(matched, found)
 
     def discovery_threshold(self) -> int:
         """What the increments must bring by themselves if the first batch left a pattern untracked."""
@@ -234,7 +238,10 @@ class IncrementalMiner:
     # queries
 
     def answer(self) -> DataFrame:
-        """pattern, utility, periodicity; exact with discover (at the query) or partition (after every batch)."""
+        """pattern, utility, periodicity; exact with discover (at the query) or partition (after every batch).
+
+        The result reads the state's present table, which the next batch replaces: write it to keep it.
+        """
         if self.config.discover and not self.config.partition and not self._settled and len(self.batches) > 1:
             self._discover(self.history(1), self.discovery_threshold())
             self._settled = True

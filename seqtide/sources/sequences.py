@@ -142,7 +142,8 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read("orders", "o_orderkey", "o_custkey", "o_orderdate").withColumn("y", F.year("o_orderdate"))
     li, p = read("lineitem", "l_orderkey", "l_partkey", "l_quantity"), read("part", "p_partkey", "p_brand")
     bought = li.join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey", F.regexp_extract("p_brand", r"(\d+)", 1).cast("int").alias("item")).agg(F.sum(F.col("l_quantity").cast("long")).alias("util"))
-    rows = bought.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    # Written, as the ids need the keys of what was bought: the join runs once.
+    rows = written(bought.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("y", "o_custkey", "o_orderdate", "o_orderkey", "item", "util"))
     ids = ordered_ids(rows.select("y", "o_custkey").distinct(), "y", "o_custkey")
     rows = rows.join(ids, ["y", "o_custkey"])
     ev = (F.dense_rank().over(Window.partitionBy("sid").orderBy("o_orderdate", "o_orderkey")) - 1).cast("int")
