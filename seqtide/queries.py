@@ -209,9 +209,10 @@ for _name in ("none", "peu", "la"):
 
 _TOP = 20
 _add("rhusp_top_utility", _answer("sess", SESS) + f" ORDER BY utility DESC, pattern LIMIT {_TOP}")(lambda spark, d: mine.answer(_mined("sess", SESS, spark, d)).orderBy(F.desc("utility"), "pattern").limit(_TOP))
+_SPACED = "trim(regexp_replace(regexp_replace(regexp_replace(trim(pattern, '<>'), '\\((\\d+)\\)', ' \\1 ', 'g'), '\\)\\(', ') (', 'g'), ' +', ' ', 'g'))"
 _scrambled = lambda c: P.render(F.transform(P.parse(c), lambda e: F.concat(F.reverse(e), e)))
 _add("canonical_keys", _answer("cust", CUST, cols="pattern"))(lambda spark, d: _mined("cust", CUST, spark, d).select(P.render(P.canonical(P.parse(_scrambled("pattern")))).alias("pattern")))
-_add("intuitive_format", _answer("cust", CUST, cols="trim(regexp_replace(regexp_replace(trim(pattern, '<>'), '\\((\\d+)\\)', ' \\1', 'g'), '\\)\\(', ') (', 'g')) AS text, utility"))(lambda spark, d: _mined("cust", CUST, spark, d).select(P.intuitive("pat").alias("text"), "utility"))
+_add("intuitive_format", _answer("cust", CUST, cols=f"{_SPACED} AS text, utility"))(lambda spark, d: _mined("cust", CUST, spark, d).select(P.intuitive("pat").alias("text"), "utility"))
 _INNER, _TRAIL = "greatest(first_sid + 1, intra)", "n - last_sid"
 _MODES = {
     "rhusp_seed_mode": (dict(mode="seed"), f"{_INNER} <= {SESS['bound']}"),
@@ -430,7 +431,7 @@ def text_profits(spark: SparkSession, d: str) -> DataFrame:
     return total("lenient").join(total("strict", default_profit=0, strict=True), "item")
 
 
-@_add("large_patterns", _answer("sess", SESS, None, cols="trim(regexp_replace(regexp_replace(trim(pattern, '<>'), '\\((\\d+)\\)', ' \\1', 'g'), '\\)\\(', ') (', 'g')) || ' #UTIL: ' || utility AS line"))
+@_add("large_patterns", _answer("sess", SESS, None, cols=f"{_SPACED} || ' #UTIL: ' || utility AS line"))
 def large_patterns(spark: SparkSession, d: str) -> DataFrame:
     at = f"{shared_dir(spark)}/large-{uuid.uuid4().hex}"
     S.write_large_patterns(_mined("sess", SESS, spark, d, None), at)
@@ -438,9 +439,12 @@ def large_patterns(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_add("pattern_counts", f"""{_q('sess')}{_patterns('p')}, t AS (SELECT ceil({INC['ratio']}::DOUBLE * u) AS thr, floor({INC['period']}::DOUBLE * n) AS most, n FROM tot),
-s AS (SELECT utility >= thr AND {_PER} <= most AS ok, utility < thr AND utility >= 0.4::DOUBLE * thr AND {_PER} <= most AS near FROM p, t WHERE utility >= ceil(0.4::DOUBLE * thr) AND {_INNER} <= most)
+cut AS (SELECT rtrim(pattern, ')>') AS head FROM p, t WHERE {_INNER} > most),
+s AS (SELECT utility >= thr AND {_PER} <= most AS ok, utility < thr AND utility >= 0.4::DOUBLE * thr AND {_PER} <= most AS near FROM p, t WHERE utility >= ceil(0.4::DOUBLE * thr) AND {_INNER} <= most
+  AND NOT EXISTS (SELECT 1 FROM cut WHERE starts_with(pattern, head || ' ') OR starts_with(pattern, head || ')(')))
 SELECT count(*) FILTER (ok) AS answer, count(*) FILTER (near) AS buffered, count(*) AS tracked, CAST(0 AS BIGINT) AS evicted FROM s""")
 def pattern_counts(spark: SparkSession, d: str) -> DataFrame:
+    """A pattern is not tracked below one whose gaps are too long for good, as its own will be."""
     db, _, n = _view("sess", spark, d)
     miner = incremental.IncrementalMiner(spark, V.shifted(_config(n, None), 0.4))
     miner.initial_build(db)
