@@ -6,7 +6,8 @@ holds two documents and none needs padding; sequences of one length are numbered
 stretch, from which batches of equal shape are read.
 
 One pass tokenizes and cuts; its rows are written once and numbered from the counts of each
-(task, length), a table of 11 rows for each task.  No text or id is shuffled.
+(task, length), a table of 11 rows for each task that is summed length by length.  No text or
+id is shuffled.
 """
 
 from __future__ import annotations
@@ -94,7 +95,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", longes
 
     pieces = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(fn, PIECES)
     pieces = written(pieces if keep_ids else pieces.drop("ids"))
-    before = Window.orderBy(F.desc("length"), "part").rowsBetween(Window.unboundedPreceding, -1)
-    stretch = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    counts = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
+    longer = Window.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each length
+    base = counts.groupBy("length").agg(F.sum("n").alias("all")).select("length", F.coalesce(F.sum("all").over(longer), F.lit(0)).alias("base"))
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    stretch = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(base, "length").select("length", "part", (F.col("base") + F.col("before")).alias("first"))
     out = pieces.join(stretch, ["length", "part"]).withColumn("sequence_id", F.col("first") + F.col("nth"))
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset"), *(["ids"] if keep_ids else []))

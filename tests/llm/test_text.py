@@ -369,6 +369,12 @@ def test_code_lengths_are_probabilities():
         assert abs(np.exp2(-tree.bits(have[last], packed[last], data[last])).sum() - 1) < 1e-5
 
 
+def test_scorer_without_trees_or_texts():
+    assert langid.Scorer({}).best([b"abc", None]) == [("und", 0.0, None)] * 2 and langid.Scorer({}).best([]) == []
+    own = langid.Scorer({"a": langid.Tree(*langid.counts([b"abc abd"]))})
+    assert own.best([]) == [] and [x[0] for x in own.best([b"", b"a" * 300_000, None])] == ["und", "a", "und"]
+
+
 def test_too_many_languages(spark):
     docs = spark.createDataFrame([(k, "text", f"l{k}") for k in range(9)], "doc_id long, text string, lang string")
     with pytest.raises(ValueError):
