@@ -325,7 +325,8 @@ def buffered_shs(spark: SparkSession, d: str) -> DataFrame:
 _BUDGET = 10
 
 
-@_add("budget_class", f"""{_q('sess')}{_patterns('p')}, t AS (SELECT pattern, utility, {_PER} AS floor, utility >= ceil({INC['ratio']}::DOUBLE * u) AND {_PER} <= floor({INC['period']}::DOUBLE * n) AS ok FROM p, tot WHERE utility >= ceil(0.1::DOUBLE * ceil({INC['ratio']}::DOUBLE * u)) AND {_INNER} <= floor({INC['period']}::DOUBLE * n)),
+@_add("budget_class", f"""{_q('sess')}{_patterns('p')}, cut AS (SELECT rtrim(pattern, ')>') AS head FROM p, tot WHERE {_INNER} > floor({INC['period']}::DOUBLE * n)), t AS (SELECT pattern, utility, {_PER} AS floor, utility >= ceil({INC['ratio']}::DOUBLE * u) AND {_PER} <= floor({INC['period']}::DOUBLE * n) AS ok FROM p, tot WHERE utility >= ceil(0.1::DOUBLE * ceil({INC['ratio']}::DOUBLE * u)) AND {_INNER} <= floor({INC['period']}::DOUBLE * n)
+  AND NOT EXISTS (SELECT 1 FROM cut WHERE starts_with(pattern, head || ' ') OR starts_with(pattern, head || ')('))),
 r AS (SELECT *, count(*) FILTER (NOT ok) OVER (ORDER BY floor RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM t)
 SELECT pattern, utility, floor AS periodicity FROM r WHERE ok OR upto <= {_BUDGET}""")
 def budget_class(spark: SparkSession, d: str) -> DataFrame:
