@@ -1,27 +1,28 @@
-"""Level-wise mining of high-utility sequential patterns as DataFrame algebra.
-
-The state of a level is the table of non-dominated ends (pattern, sequence, position, best
-utility).  Every later occurrence extends a pattern by the best of its ends before it, found
-as a running maximum; sums over sequences give utility, bounds and gaps; what survives goes
-to the next level.  Everything is hash-partitioned by a slice of the
-sequence ids once, and every join, maximum and gap has the slice among its keys, so a level
-shuffles only its per-slice summaries.  The ends that go on are checkpointed level by level:
-a lost executor costs one level, and plans stay small however long patterns get.
+"""Level-wise mining of high-utility sequential patterns.
+
+The occurrences are dealt out once, by a slice of the sequence ids, and stay there.  At each
+level every slice finds the ends of its patterns again, extends them by every later occurrence
+and sums up each candidate (see levels.py); a level shuffles only these summaries, a row for each
+candidate and slice.  What survives goes to the slices' tries, each slice's share to it.  The
+ends, of which there are as many as candidates have occurrences, are never written or shuffled,
+and plans stay small however long patterns get.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..sources.tables import checkpointed, forget, written
-from . import stats
-from .extend import co_partitioned, extensions
+from ..sources.tables import forget, written
+from . import levels, stats
 
 NO_LIMIT = (1 << 31) - 1
+#: Occurrences in one slice, about; a sequence lies in one.
+SLICE_ROWS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -53,12 +54,6 @@ def _within(bound: int, n: int, mode: str, floor: bool) -> Column:
     return ok & (trail <= bound) if floor else ok
 
 
-def _summary(ends: DataFrame) -> DataFrame:
-    """Utility, bounds and gaps of the patterns of ends(pid, ext, item, slice, sid, ev, pos, acc, rem, seq_util)."""
-    per = ends.groupBy("slice", "sid", "pid", "ext", "item").agg(F.max("acc").alias("utility"), F.max(F.col("acc") + F.col("rem")).alias("peu"), F.first("seq_util").alias("swu"))
-    return stats.gaps(per, ["pid", "ext", "item"], ["utility", "peu", "swu"])
-
-
 def mine(db: DataFrame, min_util: int, bound: int | None, n: int, options: Options = Options(), counters: list[dict] | None = None) -> DataFrame:
     """Patterns of db whose utility reaches min_util and, if bound is given, whose gaps stay within it.
 
@@ -72,42 +67,41 @@ def mine(db: DataFrame, min_util: int, bound: int | None, n: int, options: Optio
         raise ValueError("min_util must be positive")
     if options.max_len < 1:
         return empty_result(db.sparkSession)
-    with co_partitioned(db.sparkSession):
-        return _mine(db, min_util, bound, n, options, counters)
-
-
-def _mine(db: DataFrame, min_util: int, bound: int | None, n: int, options: Options, counters: list[dict] | None) -> DataFrame:
     spark = db.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    span = db.agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).first()
+    span = db.agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.count(F.lit(1)).alias("rows")).first()
     if span["lo"] is None:
         return empty_result(spark)
-    # Some slices a partition even the load; at most 64 a partition bound what a pattern's gaps meet in one task.
-    width = max(1, -(-(span["hi"] - span["lo"] + 1) // (parts * 16)))
+    # Some slices a partition even the load.
+    width = max(1, -(-(span["hi"] - span["lo"] + 1) // max(parts * 16, span["rows"] // SLICE_ROWS)))
     cut = bound if bound is not None and options.prune_regularity else None
     valid = stats.tier0(db, min_util, cut, n, options.mode).select("item")
-    occ = db.join(valid, "item", "left_semi").withColumn("slice", F.floor(F.col("sid") / width).cast("int")).repartition(parts, "slice")
-    if options.bound == "la":
-        later = Window.partitionBy("slice", "sid").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
-        occ = occ.withColumn("rem", F.coalesce(F.sum("util").over(later), F.lit(0)))
-    occ = occ.select("slice", "sid", "ev", "pos", "item", "util", "rem", "seq_util").persist()
-    pairs = None
+    occ = db.join(valid, "item", "left_semi").withColumn("slice", F.floor(F.col("sid") / width).cast("int")).repartition(parts * 4, "slice")
+    occ = occ.select("slice", "sid", "ev", "pos", "item", "util", "seq_util", *([] if options.bound == "la" else ["rem"])).sortWithinPartitions("slice").persist()
+    tries = [spark.createDataFrame([], levels.TRIE)]
     if options.eucs:
-        i = stats.eucs_i(occ).select(F.col("x").alias("last"), F.lit(0).alias("ext"), F.col("y").alias("item"), "swu")
-        s = stats.eucs_s(occ).select(F.col("x").alias("last"), F.lit(1).alias("ext"), F.col("y").alias("item"), "swu")
-        pairs = written(i.unionByName(s).filter(F.col("swu") >= min_util).drop("swu"))
+        i = stats.eucs_i(occ).select(F.col("x").alias("pid"), F.lit(0).alias("ext"), F.col("y").alias("item"), "swu")
+        s = stats.eucs_s(occ).select(F.col("x").alias("pid"), F.lit(1).alias("ext"), F.col("y").alias("item"), "swu")
+        pairs = i.unionByName(s).filter(F.col("swu") >= min_util).select(F.lit(-1).alias("level"), F.col("pid").cast("long").alias("pid"), "ext", "item", F.lit(0).cast("long").alias("id"))
+        # Each slice gets the pairs of the items that it has.
+        here = occ.select("slice", "item").distinct()
+        tries.append(written(pairs.join(here, "item").join(here.select("slice", F.col("item").cast("long").alias("pid")), ["slice", "pid"]).select(*tries[0].columns)))
 
     gaps_ok = F.lit(True) if bound is None else _within(bound, n, options.mode, options.floor)
     upper = F.col("swu" if options.bound == "none" else "peu")
-    held, found, level, parents, cut_off = [occ], [], 1, None, None
-    joined = occ.select("slice", "sid", F.lit(-1).cast("long").alias("pid"), F.lit(1).alias("ext"), "item", "pos", "ev", F.col("util").alias("acc"), "rem", "seq_util")
+    found, level, parents = [], 1, None
     while True:
-        ends, seen = joined.persist(), Observation()
-        bounded = upper >= min_util
-        summary = _summary(ends).withColumn("regular", gaps_ok).observe(seen, F.count(F.lit(1)).alias("candidates"), F.count_if(bounded).alias("bounded"), F.count_if(bounded & F.col("regular")).alias("regular"))
-        kept = summary.filter(bounded)
-        if cut is not None:
-            kept = kept.filter("regular")
+        trie = reduce(DataFrame.unionByName, tries)
+        within = written(occ.groupBy("slice").cogroup(trie.groupBy("slice")).applyInArrow(levels.summarised(level), levels.WITHIN))
+        summary = written(stats.between(within, ["pid", "ext", "item"], ["utility", "peu", "swu"]).withColumn("regular", gaps_ok))
+        bounded, regular = upper >= min_util, F.col("regular") if cut is not None else F.lit(True)
+        seen = summary.agg(F.count(F.lit(1)).alias("candidates"), F.count_if(bounded).alias("bounded"), F.count_if(bounded & regular).alias("explored")).first()
+        if counters is not None:
+            counters.append({"level": level, "candidates": seen["candidates"], "pruned_by_bound": seen["candidates"] - seen["bounded"], "pruned_by_gap": seen["bounded"] - seen["explored"], "explored": seen["explored"]})
+        if not seen["explored"]:
+            forget(within, summary)
+            break
+        kept = summary.filter(bounded & regular)
         if parents is None:
             pat = F.array(F.array("item"))
         else:
@@ -116,30 +110,18 @@ def _mine(db: DataFrame, min_util: int, bound: int | None, n: int, options: Opti
         kept = kept.withColumn("pat", pat).withColumn("id", F.monotonically_increasing_id())
         kept = written(kept.select("id", "pid", "ext", "item", "pat", "utility", "regular", "first_sid", "last_sid", "intra", "support"))
         found.append(kept)
-        explored = seen.get["bounded" if cut is None else "regular"]
-        if counters is not None:
-            counters.append({"level": level, "candidates": seen.get["candidates"], "pruned_by_bound": seen.get["candidates"] - seen.get["bounded"], "pruned_by_gap": seen.get["bounded"] - explored, "explored": explored})
-        for x in held[1:]:
-            x.unpersist()
-        held = [occ, ends]
-        if level >= options.max_len or not explored:
+        if level < options.max_len:
+            tries.append(written(within.join(kept, ["pid", "ext", "item"]).select("slice", F.lit(level).alias("level"), "pid", "ext", "item", "id")))
+        forget(within, summary)
+        if level >= options.max_len:
             break
-        vul = ends.join(kept.select("pid", "ext", "item", "id"), ["pid", "ext", "item"]).select("slice", "sid", F.col("id").alias("pid"), F.col("item").alias("last"), "ev", "pos", "acc")
-        forget(cut_off)
-        vul = cut_off = checkpointed(vul)
-        joined = extensions(vul, occ, ["slice", "sid"])
-        if pairs is not None:
-            allowed = kept.select(F.col("id").alias("pid"), F.col("item").alias("last")).join(pairs, "last").select("pid", "ext", "item")
-            joined = joined.join(allowed, ["pid", "ext", "item"], "left_semi")
-        joined = joined.select("slice", "sid", "pid", "ext", "item", "pos", "ev", "acc", "rem", "seq_util")
         parents = kept.select(F.col("id").alias("pid"), F.col("pat").alias("parent"))
         level += 1
-    for x in held:
-        x.unpersist()
-    forget(cut_off, pairs)
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
+    occ.unpersist()
+    forget(*tries)
+    if not found:
+        return empty_result(spark)
+    out = reduce(DataFrame.unionByName, found)
     inner = F.greatest(F.col("first_sid") + 1, "intra")
     return out.filter((F.col("utility") >= min_util) & F.col("regular")).select(
         P.render("pat").alias("pattern"), "pat", "utility", F.greatest(inner, F.lit(n) - F.col("last_sid")).alias("periodicity"), "first_sid", "last_sid", inner.alias("max_inner"), "support"

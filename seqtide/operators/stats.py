@@ -72,6 +72,11 @@ def gaps(per_sequence: DataFrame, keys: list[str], sums: list[str]) -> DataFrame
     within = per_sequence.withColumn("__gap", F.col("sid") - F.lag("sid").over(inside)).groupBy("slice", *keys).agg(
         F.min("sid").alias("__lo"), F.max("sid").alias("__hi"), F.coalesce(F.max("__gap"), F.lit(0)).alias("__in"), F.count(F.lit(1)).alias("__n"), *[F.sum(c).alias(c) for c in sums]
     )
+    return between(within, keys, sums)
+
+
+def between(within: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
+    """gaps() of rows that sum up a key in a slice: first and last sid, largest gap and number of sequences (__lo, __hi, __in, __n), and sums."""
     across = Window.partitionBy(*keys).orderBy("slice")
     return within.withColumn("__over", F.coalesce(F.col("__lo") - F.lag("__hi").over(across), F.lit(0))).groupBy(*keys).agg(
         F.min("__lo").alias("first_sid"), F.max("__hi").alias("last_sid"), F.greatest(F.max("__in"), F.max("__over")).alias("intra"), F.sum("__n").alias("support"), *[F.sum(c).alias(c) for c in sums]

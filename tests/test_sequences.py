@@ -2,6 +2,7 @@
 
 from types import SimpleNamespace
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from seqtide.functions import metrics
 from seqtide.functions import patterns as P
 from seqtide.functions import thresholds as T
-from seqtide.operators import compare, match, mine, stats
+from seqtide.operators import compare, levels, match, mine, stats
 from seqtide.operators.extend import extensions
 from seqtide.operators.mine import Options
 from seqtide.sources import sequences as S
@@ -82,6 +83,39 @@ def test_no_limit_and_lineage_cut(spark):
     assert got == brute_answer(rows, 30, None, 3, 9) and any(len(k) > 18 for k in got)
 
 
+def test_ends_are_not_stored(spark, monkeypatch):
+    """Eleven thousand ends of three items from two hundred occurrences: only the occurrences are kept, once."""
+    rows = [(s, e, 1 + (s + e) % 7, 1 + e) for s in range(10) for e in range(20)]
+    db, kept = S.qsdb(spark.createDataFrame(rows, SCHEMA)).cache(), []
+    monkeypatch.setattr(tables, "checkpointed", lambda df: kept.append(df) or df)
+    monkeypatch.setattr(mine, "checkpointed", tables.checkpointed, raising=False)
+    persist = type(db).persist
+    monkeypatch.setattr(type(db), "persist", lambda self, *a: kept.append(self) or persist(self, *a))
+    got = as_dict(mine.mine(db, 60, None, 10, Options(max_len=3)))
+    assert got == brute_answer(rows, 60, None, 10, 3)
+    assert len(kept) == 1 and kept[0].columns[0] == "slice" and "acc" not in kept[0].columns
+
+
+@pytest.mark.parametrize("piece", [1, 7])
+def test_pieces_of_a_level(spark, monkeypatch, piece):
+    """A level cut into small pieces, whose rows are merged, sums up the same; so do slices of one sequence and pairs that prune."""
+    whole = levels.summarised
+    monkeypatch.setattr(levels, "summarised", lambda level: whole(level, piece))
+    monkeypatch.setattr(mine, "SLICE_ROWS", 1)
+    rows = random_rows(11, sequences=30, items=4)
+    db = S.qsdb(spark.createDataFrame(rows, SCHEMA)).cache()
+    for options in (Options(max_len=4), Options(max_len=4, eucs=True, bound="peu")):
+        assert as_dict(mine.mine(db, 80, 9, 30, options)) == brute_answer(rows, 80, 9, 30, 4)
+
+
+def test_codes_are_found_in_large_spaces():
+    codes = np.array([3, 9, 200])
+    asked = np.array([9, 0, 200, 3, 201, 4])
+    for space in (300, levels.DENSE + 1):
+        assert levels._find(codes, space)(asked[asked < space]).tolist() == [1, -1, 2, 0, -1, -1]
+        assert levels._find(codes[:0], space)(asked).tolist() == [-1] * 6
+
+
 def test_modes(spark):
     rows = random_rows(3, sequences=20)
     db = S.qsdb(spark.createDataFrame(rows, SCHEMA)).cache()
