@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOCAL: str | None = None
 _WRITTEN: dict[str, SparkSession] = {}
 
@@ -28,9 +29,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table that outlives lost executors; removed by forget() or when the application ends."""
+    """df as a Parquet table that outlives lost executors; removed by forget() or when the application ends.
+
+    The shuffles that made it go at once; without the setting they stay on the executors' disks
+    until the driver happens to collect its garbage.
+    """
     spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/seqtide-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     _note(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._seqtide_path = path

@@ -1,5 +1,6 @@
 """Sources, statistics, static mining, matching and functions."""
 
+import time
 from types import SimpleNamespace
 
 import numpy as np
@@ -223,6 +224,21 @@ def test_one_long_sequence(spark):
     assert extensions(ends, occ, ["sid"]).groupBy("pid", "ext").count().collect() and extensions(ends, occ, ["sid"]).count() == 1999 + 1998
 
 
+def test_shuffles_of_a_written_table_go_at_once(spark):
+    """What a written table was made from needs no disk any more, though the driver has not collected its garbage."""
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {str(f) for f in blocks.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    spark.sparkContext._jvm.System.gc()
+    before, df = shuffles(), spark.range(1000).selectExpr("id % 7 AS k", "id").groupBy("k").count()
+    table = tables.written(df)
+    until = time.time() + 20
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffles() - before and table.count() == df.count() == 7
+    assert shuffles() - before, "the files are looked for in the wrong place"
+    tables.forget(table)
+
+
 def test_a_cluster_needs_a_shared_folder():
     """Without spark.checkpoint.dir only a Spark of one process gets a folder on this machine."""
 
