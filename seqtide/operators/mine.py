@@ -1,11 +1,12 @@
 """Level-wise mining of high-utility sequential patterns.
 
-The occurrences are dealt out once, by a slice of the sequence ids, and stay there.  At each
-level every slice finds the ends of its patterns again, extends them by every later occurrence
-and sums up each candidate (see levels.py); a level shuffles only these summaries, a row for each
-candidate and slice.  What survives goes to the slices' tries, each slice's share to it.  The
-ends, of which there are as many as candidates have occurrences, are never written or shuffled,
-and plans stay small however long patterns get.
+The occurrences are dealt out once, by a slice of the sequence ids, packed in blocks, and stay
+there.  At each level every slice finds the ends of its patterns again, extends them by every
+later occurrence and sums up each candidate (see levels.py); a level shuffles only these
+summaries, a row for each candidate and slice.  Slices are therefore few and large: their number
+follows the occurrences, not the partitions.  What survives goes to the slices' tries, each
+slice's share to it.  The ends, of which there are as many as candidates have occurrences, are
+never written or shuffled, and plans stay small however long patterns get.
 """
 
 from __future__ import annotations
@@ -21,8 +22,17 @@ from ..sources.tables import forget, written
 from . import levels, stats
 
 NO_LIMIT = (1 << 31) - 1
-#: Occurrences in one slice, about; a sequence lies in one.
-SLICE_ROWS = 1 << 18
+#: Occurrences in one slice and in one block of it, about; a sequence lies in one.
+SLICE_ROWS, BLOCK_ROWS = 1 << 20, 1 << 18
+#: Few occurrences are dealt over so many slices a core, to even the load, of so many occurrences at least.
+SLICES, LEAST_ROWS = 4, 1 << 13
+
+
+def cut(lo: int, hi: int, rows: int, cores: int) -> tuple[int, int, int]:
+    """Of occurrences of sequences lo to hi: number of slices, blocks in a slice, sequence ids in a block."""
+    slices = min(hi - lo + 1, max(1, rows // SLICE_ROWS, min(SLICES * cores, rows // LEAST_ROWS)))
+    blocks = max(1, -(-(rows // BLOCK_ROWS) // slices))
+    return slices, blocks, max(1, -(-(hi - lo + 1) // (slices * blocks)))
 
 
 @dataclass(frozen=True)
@@ -68,16 +78,18 @@ def mine(db: DataFrame, min_util: int, bound: int | None, n: int, options: Optio
     if options.max_len < 1:
         return empty_result(db.sparkSession)
     spark = db.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     span = db.agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.count(F.lit(1)).alias("rows")).first()
     if span["lo"] is None:
         return empty_result(spark)
-    # Some slices a partition even the load.
-    width = max(1, -(-(span["hi"] - span["lo"] + 1) // max(parts * 16, span["rows"] // SLICE_ROWS)))
-    cut = bound if bound is not None and options.prune_regularity else None
-    valid = stats.tier0(db, min_util, cut, n, options.mode).select("item")
-    occ = db.join(valid, "item", "left_semi").withColumn("slice", F.floor(F.col("sid") / width).cast("int")).repartition(parts * 4, "slice")
-    occ = occ.select("slice", "sid", "ev", "pos", "item", "util", "seq_util", *([] if options.bound == "la" else ["rem"])).sortWithinPartitions("slice").persist()
+    slices, blocks, width = cut(span["lo"], span["hi"], span["rows"], spark.sparkContext.defaultParallelism)
+    gap = bound if bound is not None and options.prune_regularity else None
+    valid = written(stats.tier0(db, min_util, gap, n, options.mode).select("item"))
+    block = F.floor(F.col("sid") / width).cast("int")
+    occ = db.join(valid, "item", "left_semi").withColumn("block", block).withColumn("slice", F.floor(F.col("block") / blocks).cast("int"))
+    rows = occ.select("slice", "block", "sid", "ev", "item", "util", "seq_util", *([] if options.bound == "la" else ["rem"]))
+    # Written, so that the shuffle of the occurrences goes; more partitions than slices, as few should get two.
+    pack = written(rows.groupBy("slice", "block").applyInArrow(levels.packed, levels.BLOCKS))
+    dealt = pack.repartition(2 * slices, "slice").sortWithinPartitions("slice").persist()
     tries = [spark.createDataFrame([], levels.TRIE)]
     if options.eucs:
         i = stats.eucs_i(occ).select(F.col("x").alias("pid"), F.lit(0).alias("ext"), F.col("y").alias("item"), "swu")
@@ -92,9 +104,9 @@ def mine(db: DataFrame, min_util: int, bound: int | None, n: int, options: Optio
     found, level, parents = [], 1, None
     while True:
         trie = reduce(DataFrame.unionByName, tries)
-        within = written(occ.groupBy("slice").cogroup(trie.groupBy("slice")).applyInArrow(levels.summarised(level), levels.WITHIN))
+        within = written(dealt.groupBy("slice").cogroup(trie.groupBy("slice")).applyInArrow(levels.summarised(level), levels.WITHIN))
         summary = written(stats.between(within, ["pid", "ext", "item"], ["utility", "peu", "swu"]).withColumn("regular", gaps_ok))
-        bounded, regular = upper >= min_util, F.col("regular") if cut is not None else F.lit(True)
+        bounded, regular = upper >= min_util, F.col("regular") if gap is not None else F.lit(True)
         seen = summary.agg(F.count(F.lit(1)).alias("candidates"), F.count_if(bounded).alias("bounded"), F.count_if(bounded & regular).alias("explored")).first()
         if counters is not None:
             counters.append({"level": level, "candidates": seen["candidates"], "pruned_by_bound": seen["candidates"] - seen["bounded"], "pruned_by_gap": seen["bounded"] - seen["explored"], "explored": seen["explored"]})
@@ -117,8 +129,8 @@ def mine(db: DataFrame, min_util: int, bound: int | None, n: int, options: Optio
             break
         parents = kept.select(F.col("id").alias("pid"), F.col("pat").alias("parent"))
         level += 1
-    occ.unpersist()
-    forget(*tries)
+    dealt.unpersist()
+    forget(valid, pack, *tries)
     if not found:
         return empty_result(spark)
     out = reduce(DataFrame.unionByName, found)

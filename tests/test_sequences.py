@@ -4,6 +4,8 @@ import time
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -109,6 +111,56 @@ def test_pieces_of_a_level(spark, monkeypatch, piece):
         assert as_dict(mine.mine(db, 80, 9, 30, options)) == brute_answer(rows, 80, 9, 30, 4)
 
 
+def test_summaries_follow_occurrences(spark, monkeypatch):
+    """Few occurrences lie in one slice whatever the partitions, so a level writes and shuffles one row for each candidate."""
+    rows = random_rows(11, sequences=60, items=4)
+    db, sizes, seen = S.qsdb(spark.createDataFrame(rows, SCHEMA)).cache(), [], []
+
+    def noted(df):
+        out = tables.written(df)
+        if out.columns == [c.split()[0] for c in levels.WITHIN.split(", ")]:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(mine, "written", noted)
+    assert as_dict(mine.mine(db, 80, 9, 60, Options(max_len=3), seen)) == brute_answer(rows, 80, 9, 60, 3)
+    assert sizes == [x["candidates"] for x in seen]
+    assert mine.cut(0, 5_000_000, 1 << 25, 8) == (32, 4, 39063) and mine.cut(7, 9, 1 << 25, 8) == (3, 43, 1)
+
+
+def test_blocks_of_a_slice(spark, monkeypatch):
+    """A slice in many blocks has the gaps between them."""
+    monkeypatch.setattr(mine, "BLOCK_ROWS", 1)
+    rows = random_rows(12, sequences=30, items=4)
+    db = S.qsdb(spark.createDataFrame(rows, SCHEMA)).cache()
+    for options in (Options(max_len=3), Options(max_len=3, eucs=True, bound="peu")):
+        assert as_dict(mine.mine(db, 60, 9, 30, options)) == brute_answer(rows, 60, 9, 30, 3)
+
+
+def test_sums_in_a_list_are_those_in_arrays(monkeypatch):
+    """Both of one block of all sequences, too."""
+    rows = pa.table({"sid": [0, 0, 2, 2, 5, 5, 5, 6], "ev": [0, 1, 0, 0, 0, 1, 2, 0], "item": [3, 9, 3, 9, 9, 3, 9, 9], "util": [4, 2, 1, 7, 3, 3, 5, 8], "seq_util": [6, 6, 8, 8, 11, 11, 11, 8]})
+    trie = pa.table({"slice": [0, 0], "level": [1, 1], "pid": [-1, -1], "ext": [1, 1], "item": [3, 9], "id": [70, 40]})
+
+    def block(sids):
+        part = rows.filter(pc.is_in(rows["sid"], pa.array(sids)))
+        zeros = pa.chunked_array([[0] * part.num_rows])
+        return levels.packed(part.append_column("slice", zeros).append_column("block", zeros))["data"][0].as_py()
+
+    def found(level, *blocks):
+        x = levels.Slice([block(b) for b in blocks], trie, level, 1).summary()
+        return sorted(zip(*[x[c].tolist() for c in levels._NAMES[1:]], strict=True))
+
+    for level in (1, 2):
+        want = found(level, [0, 2, 5, 6])
+        assert want and found(level, [0], [2, 5], [6]) == want
+        with monkeypatch.context() as m:
+            m.setattr(levels, "SUMS", 0)
+            assert found(level, [0, 2, 5, 6]) == found(level, [0], [2, 5], [6]) == want
+    # <(3)(9)> in 0 and 5; <(3 9)> in 2; <(9)(3)> and <(9)(9)> in 5.
+    assert [x[:8] for x in found(2, [0], [2], [5, 6])] == [(40, 1, 3, 5, 5, 0, 1, 6), (40, 1, 9, 5, 5, 0, 1, 8), (70, 0, 9, 2, 2, 0, 1, 8), (70, 1, 9, 0, 5, 5, 2, 14)]
+
+
 def test_codes_are_found_in_large_spaces():
     codes = np.array([3, 9, 200])
     asked = np.array([9, 0, 200, 3, 201, 4])
